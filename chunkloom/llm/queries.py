@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.common import table
-from chunkloom.llm import ranking, tokenizer, vectors
+from chunkloom.llm import leakage, ranking, tokenizer, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), spans=False)
+    return leaks.select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
