@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.common import table
-from chunkloom.llm import leakage, ranking, tokenizer, vectors
+from chunkloom.llm import docpairs, leakage, ranking, tokenizer, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first(table(spark, sf_dir, "search_results"), "query_id", "chunk_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "chunks"), code=False)
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
