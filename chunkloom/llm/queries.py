@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.common import table
-from chunkloom.llm import credentials, docpairs, leakage, ranking, tokenizer, vectors
+from chunkloom.llm import credentials, docpairs, handwritten, leakage, ranking, tokenizer, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.findings(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.found(table(spark, sf_dir, "chunks"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf_dir, "chunks"), code=False)
 
@@ -43,6 +47,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
