@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.common import table
-from chunkloom.llm import credentials, docpairs, handwritten, leakage, ranking, tokenizer, vectors
+from chunkloom.llm import credentials, docpairs, handwritten, leakage, ranking, tokenizer, truncation, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(table(spark, sf_dir, "documents"))
+
+
+def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {}
