@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chunkloom.plans import graph
+from chunkloom.plans import graph, search
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "layered_search"
 
-QUERIES = graph.QUERIES
+QUERIES = search.QUERIES | graph.QUERIES
 
-SQL = graph.SQL
+SQL = search.SQL | graph.SQL
