@@ -40,7 +40,7 @@ _GENERATED = r"do not (?:edit|modify|change|touch)|don'?t (?:edit|modify|change|
 _VENDORED = r"vendored from|copied verbatim|original source release|imported without changes|bundled copy of|is maintained elsewhere|released under the terms of|\(c\) the \w+ authors|upstream of \w+; keep in sync"
 _NOTICE = re.compile(f"{_GENERATED}|{_VENDORED}", re.I)
 _BANNER = re.compile(r"^\s*/\*!|//[#@] sourceMappingURL=|^\(\(\)=>\{|^!function\(")
-_DATA = re.compile(r"^\s*(?:(?:static|const|export|var|let|local|final|public|private|unsigned|signed|char|int|uint8_t|byte|double|float|String|module\.exports|[A-Za-z_]\w*(?:\[\])?)\s*){1,7}(?:\[\d*\]\s*)?(?:=|:=)?\s*[\[{(]\s*$")
+_DATA = re.compile(r"^\s*[A-Za-z_][\w \t.\[\]*:<>]{0,80}=\s*(?:\[\]\w+)?[\[{(]\s*$")
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|!\[|\[|!/)|/\*|\*|--|;|<!--|\"\"\"|''')")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _VALUE = re.compile(r"\"[^\"]*\"|-?[\d.]+")
@@ -70,6 +70,8 @@ def notice(text: str, first: bool) -> bool:
             break
         if _NOTICE.search(line):
             return True
+    if lines[0].rstrip()[-1:] not in ("[", "{", "("):
+        return _records(lines)
     body = [x for x in lines[1:] if x.strip()]
     return bool(_DATA.match(lines[0]) or lines[0].strip() in ("[", "{")) and len(body) >= 8 and sum(map(bool, map(_LITERAL_LINE.match, body))) > 0.6 * len(body) or _records(lines)
 
