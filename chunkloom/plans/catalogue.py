@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chunkloom.plans import graph, search
+from chunkloom.plans import browse, graph, search
 
 FLAGSHIP = "layered_search"
 
-QUERIES = search.QUERIES | graph.QUERIES
+QUERIES = search.QUERIES | graph.QUERIES | browse.QUERIES
 
-SQL = search.SQL | graph.SQL
+SQL = search.SQL | graph.SQL | browse.SQL
