@@ -117,8 +117,9 @@ class Engine:
     def search(self, query: str, top_k: int = 10, **filters) -> DataFrame:
         """Chunks by content; filters as `catalogue.ls` takes them apply before ranking."""
         rows = catalogue.ls(self.chunks(), **filters)
-        if "updated_at" not in rows.columns:
-            rows = rows.withColumn("updated_at", F.lit(None).cast("timestamp"))
+        for column, kind in (("updated_at", "timestamp"), ("signature", "string"), ("line_start", "long"), ("line_end", "long")):
+            if column not in rows.columns:  # knowledge alone has no places
+                rows = rows.withColumn(column, F.lit(None).cast(kind))
         queries = self.spark.createDataFrame([(0, query)], "query_id long, text string")
         for hook in self.plugins.pre_search:
             queries = hook(queries)
