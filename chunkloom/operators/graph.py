@@ -114,7 +114,9 @@ def contains_edges(chunks: DataFrame) -> DataFrame:
     """src, dst: each member chunk and the last container before it in its file, if its lines lie inside."""
     w = Window.partitionBy("file_path").orderBy("line_start", "id").rowsBetween(Window.unboundedPreceding, -1)
     box = F.when(F.col("chunk_type").isin(*CONTAINERS), F.struct(F.col("id"), F.col("line_start").alias("lo"), F.col("line_end").alias("hi")))
-    last = chunks.withColumn("box", F.last(box, ignorenulls=True).over(w))
+    # other chunks take no part, so a path that holds very many notes is no large group here
+    some = chunks.where(F.col("chunk_type").isin(*CONTAINERS, *MEMBERS))
+    last = some.withColumn("box", F.last(box, ignorenulls=True).over(w))
     inside = (F.col("line_start") > F.col("box.lo")) & (F.col("line_end") <= F.col("box.hi"))
     return last.where(F.col("chunk_type").isin(*MEMBERS) & inside).select(F.col("box.id").alias("src"), F.col("id").alias("dst"))
 

@@ -19,7 +19,7 @@ def hint_search(hints: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, id, score: the best hint of each chunk (chunk_id, hint_text, hint_type), normalised, relational ones raised."""
     rows = hints.select(F.xxhash64("chunk_id", "hint_text").alias("id"), "chunk_id", "hint_text", "hint_type").dropDuplicates(["id"])
     q = queries.select("query_id", scalar.tokens(F.col("text")).alias("terms"))
-    found = fulltext.bm25(fulltext.index(rows.select("id", "hint_text"), ("hint_text",)), q, {"hint_text": 1.0})
+    found = fulltext.bm25(fulltext.index(rows.select("id", "hint_text"), ("hint_text",), only=fulltext.terms_of(q)), q, {"hint_text": 1.0})
     best = fulltext.top(found, 10 * k, F.round("rank", 9), F.col("id")).drop("place")
     raised = F.least(fulltext.normalised(best) + F.when(F.col("hint_type").isin(*RELATIONAL), HINT_BONUS).otherwise(0.0), F.lit(1.0))
     kinds = rows.select("id", "chunk_id", "hint_type")

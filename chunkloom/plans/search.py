@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.common import table
+from chunkloom.common import Scratch, table
 from chunkloom.functions import scalar
 from chunkloom.operators import fulltext, ranking
 from chunkloom.operators.chunks import live
@@ -25,14 +25,16 @@ def as_of():
 
 def chunks_and_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Live chunks, and the queries: the names, in words, of those whose id is divisible by 20."""
-    rows = live(table(spark, sf_dir, "chunks"))
+    # the latest state is read several times; written once, it is shuffled once
+    rows = Scratch(spark, "search").cut(live(table(spark, sf_dir, "chunks")))
     named = rows.where((F.col("id") % 20 == 0) & F.col("name").isNotNull())
     return rows, named.select(F.col("id").alias("query_id"), scalar.name_words(F.col("name")).alias("text"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, queries = chunks_and_queries(spark, sf_dir)
-    return fulltext.bm25(fulltext.index(rows), queries.select("query_id", scalar.tokens(F.col("text")).alias("terms")))
+    q = queries.select("query_id", scalar.tokens(F.col("text")).alias("terms"))
+    return fulltext.bm25(fulltext.index(rows, only=fulltext.terms_of(q)), q)
 
 
 def fts_bm25_topk(spark, sf_dir):
@@ -70,7 +72,7 @@ def search_dampened(spark, sf_dir):
 def name_match_bonus(spark, sf_dir):
     rows, queries = chunks_and_queries(spark, sf_dir)
     q = queries.select("query_id", scalar.tokens(F.col("text")).alias("terms"))
-    best = fulltext.top(fulltext.bm25(fulltext.index(rows), q), fulltext.CANDIDATES, F.round("weighted", 9), F.col("id"))
+    best = fulltext.top(fulltext.bm25(fulltext.index(rows, only=fulltext.terms_of(q)), q), fulltext.CANDIDATES, F.round("weighted", 9), F.col("id"))
     out = best.join(q, "query_id").join(rows.select("id", "name", "signature"), "id")
     return out.withColumn("bonus", scalar.name_bonus(F.col("terms"), F.col("name"), F.col("signature"))).where("bonus > 0").groupBy("query_id").agg(F.count("*").alias("rows"), F.round(F.sum("bonus"), 6).alias("bonus"))
 
