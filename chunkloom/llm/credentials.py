@@ -45,15 +45,15 @@ _WEAK = frozenset(("token", "auth", "authorization", "credential", "credentials"
 
 _ASSIGN = re.compile(r"(?P<q>[\"']?)(?P<name>[^\W\d][\w.\-]*)(?P=q)\s*(?:\]\s*)?(?::\s*(?:&?'?(?P<kind>\w+)\s*)?=|:=|=>|=|:)\s*(?P<rest>\S.*)$")
 _LITERAL = re.compile(r"""[(\[{\s]*(?:[rbuRBU]{1,2}|String::from\(|@)?(?P<q>\"\"\"|'''|"|'|`)(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)?""")
-_BARE_VALUE = re.compile(r"[^\s,;#][^\s]*")
+_BARE_VALUE = re.compile(r"(?:[^\s,;#]|#(?=\S))\S*")
 
 #: What stands where a credential should.
 _PLACEHOLDER = re.compile(
     r"""^(?:|(.)\1*|.*\$\{.*|.*\{\{.*|.*\$\(.*|\$[A-Za-z_]\w*|.*%\(\w+\)s.*|%\w+%|.*<[^<>]*>.*|\[[^\]]*\]|\{[^}]*\}|.*\*{3,}.*|.*x{6,}.*|.*\.{3,}.*|
     (?:vault|ssm|env|keyring|secretsmanager|secret|op|kms|sm|gcp|azure|sops|file|config|ref|k8s|keychain)(?::|://).*|arn:.*|ENC\[.*|
     (?:true|false|yes|no|on|off|none|null|nil|undefined|todo|fixme|tbd|n/a|empty|unset|default|redacted|removed|hidden|masked|censored|secret|password|passwd|token|string|str|value|required|optional|changeit)|
-    .*(?:change[-_\s]?(?:me|this|it)|replace[-_\s]?(?:me|this|with)|your[-_\s]|[-_\s]here\b|example|dummy|placeholder|insert[-_\s]|fill[-_\s]?(?:in|me)|put[-_\s]|sample|not[-_\s]?(?:a[-_\s])?(?:real|set|secret)|set[-_\s]?me|redacted|fake[-_\s]).*|
-    \.{0,2}/.*|[a-z]:\\.*|(?:process\.env|os\.environ|os\.getenv|env\[|std::env|system\.getenv|import\.meta).*|[\w.]+\(.*)$""",
+    .*(?<![a-z])(?:change[-_\s]?(?:me|this|it)|replace[-_\s]?(?:me|this|with)|your[-_\s]|[-_\s]here\b|example|dummy|placeholder|insert[-_\s]|fill[-_\s]?(?:in|me)|put[-_\s]|sample|not[-_\s]?(?:a[-_\s])?(?:real|set|secret)|set[-_\s]?me|redacted|fake[-_\s]).*|
+    \.{0,2}/.*|[a-z]:\\.*|(?:process\.env|os\.environ|os\.getenv|env\[|std::env|system\.getenv|import\.meta).*|[\w.]+\(.*\)?\)[;,]?)$""",
     re.I | re.X,
 )
 _NUMBER = re.compile(r"^[-+]?[\d._]{1,5}$")
@@ -103,6 +103,8 @@ def unnatural(text: str, least: int = 8) -> bool:
 def placeholder(value: str) -> bool:
     """Whether a value is empty, a reference, a path, a number of few digits or an invitation to fill in one."""
     value = value.strip()
+    if value.startswith("/") and re.search(r"\d", value) and re.search("[A-Z]", value) and re.search("[a-z]", value) and unnatural(value, 16):
+        return False  # base64 that happens to begin like a path
     return bool(_PLACEHOLDER.match(value) or _NUMBER.match(value))
 
 

@@ -20,6 +20,9 @@ YES = [
     ("toml", f'h = "Authorization: Basic {B64}"'),
     ("lua", 'local c = "Endpoint=sb://a.test/;SharedAccessKeyName=root;SharedAccessKey=xOR7CXaivDCeAIGp4pA4FuWH54WMKz7Cliifq2ixpyw="'),
     ("ini", "//reg.test/:_authToken=4902449f5c62100b533036712b359a4759ea5a5b"),
+    ("yaml", "access_token: /1yWGSGG8haJn6JdSJcd6yaj1NDGqq7Qml23XfSa"),
+    ("dotenv", "client_secret=#xBW%pr7kFJPFS"),
+    ("yaml", "# login sekola password vofake-seraha-897  (machine a.test)"),
     ("", "Der Zugang: kennwort = qT5zPw81LkRx9"),
 ]
 NO = [
@@ -41,6 +44,9 @@ NO = [
     ("python", '# the password is read from the vault, never from this file'),
     ("yaml", "# -----BEGIN PUBLIC KEY-----\n# FZwULvROnlZara449nAELKtjt/ChzlqtltiNKc29bNdsLFMThPQmzCO1yOGP8RjY\n# -----END PUBLIC KEY-----"),
     ("python", 'icon = "data:image/png;base64,WRfgHhh/AzzLMRmxHL60N8WplFnxHXyUMyhPuC5JMjMAJS/HcoVO2NV1I/6qLQtjY6dx/eSUfgF/WwxU"'),
+    ("yaml", "password: # set below"),
+    ("python", 'password = "fake-password-1"'),
+    ("dotenv", "api_key=/run/secrets/api_key"),
     ("json", '"db": "postgres://app:${DB_PASS}@db.test/x"'),
 ]
 
