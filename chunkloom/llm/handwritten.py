@@ -32,6 +32,8 @@ SAMPLE = 40_000
 TREES, DEPTH, LEAVES, SEED = 60, 8, 400, 7
 #: Score from which a file is taken: about five times that of hand-written files.
 SCORE = 0.1
+#: Characters below which a body tells nothing by itself.
+BODY = 60
 #: Score from which a configuration file without a notice is taken.
 SURE = 0.5
 
@@ -203,12 +205,13 @@ def machine_made(chunks: DataFrame, least: float = SCORE) -> DataFrame:
 
     They are those whose forest score is at least `least`, and those the
     labelling step itself is sure of.  Ordinary configuration has forms of its
-    own, so there the score must be SURE or the file's name a generator's.
-    Files without code chunks are none.
+    own, so there the score must be SURE or the file's name a generator's; a body of
+    fewer than BODY characters counts only with a telling path.  Files without code chunks are none.
     """
     features = Scratch(chunks.sparkSession, "handwritten").cut(file_features(chunks))
     ordinary = (F.col("f_configuration") == 1) & (F.col("f_generated_name") == 0) & (F.col("score") < SURE)
-    made = F.col("labelled") | (F.col("score") >= least) & ~ordinary
+    telling = (F.col("f_size") >= math.log1p(BODY)) | (F.col("f_foreign_folder") + F.col("f_generated_name") + F.col("f_bundled_name") > 0)
+    made = F.col("labelled") | (F.col("score") >= least) & ~ordinary & telling
     return scored(features).where(made).select("path", "labelled", "score")
 
 
