@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalar
+from chunkloom.operators.fulltext import top
 from chunkloom.operators.graph import dep_type, is_open
 
-#: Chunk types that become entities; hint kinds of dependency types, as source and as target.
+#: Chunk types that become entities; those a community's summary lists; hint kinds of dependency types, as source and as target.
 NAMED_TYPES = ("function", "method", "class", "struct", "interface", "trait", "enum", "type", "constant", "macro", "module", "impl")
+KEY_ITEMS = ("function", "struct", "class", "trait", "interface", "enum", "impl", "method")
 HINT_ENTITIES = ("function", "method", "class", "struct", "interface", "trait", "enum")
 OUTGOING = {"implements": "heir", "extends": "heir", "overrides": "heir", "contains": "member", "calls": "callee", "references": "callee", "imports": "importer"}
 INCOMING = {"implements": ("implementations of ", "", "heir"), "extends": ("subclasses of ", "", "heir"), "overrides": ("methods overridden by ", "", "heir"), "contains": ("", " members", "member"), "calls": ("callers of ", "", "caller"), "imports": ("files that import ", "", "importer"), "references": ("entities referencing ", "", "callee")}
@@ -130,6 +132,59 @@ def directory_communities(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("path", F.size(F.split("path", "/")).alias("depth"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("entity_count", F.lit(0)).alias("entity_count"))
 
 
+def community_texts(chunks: DataFrame, most: int = 8, least: float = 0.5) -> DataFrame:
+    """path, chunk_count, text of every path prefix of a file: the path, and the summary of its chunks of importance `least` or more, in lower case.
+
+    A summary names the folder, counts chunks by type and lists the `most` key items.
+    """
+    parts = F.split("file_path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    rows = chunks.where(F.col("file_path") != "").select(F.explode(prefixes).alias("path"), "id", "name", "chunk_type", "importance")
+    own = (F.col("importance") >= least).cast("int")
+    by_type = rows.groupBy("path", "chunk_type").agg(F.count("*").alias("all"), F.sum(own).alias("n"))
+    count = F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("m"), "chunk_type"))))
+    count = by_type.groupBy("path").agg(F.sum("all").alias("chunk_count"), count.alias("kinds"))
+    keys = top(rows.where((F.col("importance") >= least) & F.col("chunk_type").isin(*KEY_ITEMS)), most, F.desc("importance"), F.col("id"), by="path")
+    keys = keys.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("name", F.lit("(unnamed)")).alias("name")))).alias("items"))
+    kinds = F.array_join(F.transform("kinds", lambda x: F.concat((-x["m"]).cast("string"), F.lit(" "), x["chunk_type"])), ", ")
+    items = F.concat(F.lit(". Key items: "), F.array_join(F.transform("items", lambda x: x["name"]), ", "))
+    head = F.concat(F.lit("\n**"), F.element_at(F.split("path", "/"), -1), F.lit("** — "))
+    summary = F.when(F.size("kinds") > 0, F.concat(head, kinds, F.coalesce(items, F.lit("")))).otherwise("")
+    return count.join(keys, "path", "left").select("path", "chunk_count", F.lower(F.concat("path", summary)).alias("text"))
+
+
+def matching_communities(texts: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
+    """query_id, path: the `most` largest communities (path, chunk_count, text) whose text contains the whole query."""
+    words = queries.select(F.lower("text").alias("asked")).dropna().distinct()
+    # a text that contains a query holds its first letters: an equal join finds the few to look at
+    size = F.length("asked")
+    key = words.withColumn("gram", F.substring("asked", F.lit(1), F.when(size >= 6, 6).when(size >= 3, 3).otherwise(size)))
+    starts = F.sequence(F.lit(1), F.length("text"))
+
+    def every(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+
+    places = texts.select("path", "chunk_count", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), every(1), every(2), every(3), every(6)))).alias("gram"))
+    fit = places.join(key, "gram").where(F.contains("text", F.col("asked"))).select("asked", "path", "chunk_count")
+    best = top(fit, most, F.desc("chunk_count"), F.col("path"), by="asked").select("asked", "path")
+    return queries.select("query_id", F.lower("text").alias("asked")).join(best, "asked").select("query_id", "path")
+
+
+def community_chunks(chunks: DataFrame, paths: DataFrame, keep: int, key: Column) -> DataFrame:
+    """path, id, importance of the chunks in or under each path, by an equal join on the prefixes of file paths.
+
+    Of each path, the `keep` sources (`key`) with the most important chunks and
+    of each source its `keep` most important chunks.
+    """
+    parts = F.split("file_path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    rows = chunks.where(F.col("file_path") != "").withColumn("source", F.coalesce(key, F.lit(""))).select("id", "importance", "source", F.explode(prefixes).alias("path"))
+    rows = rows.join(paths.select("path").distinct(), "path", "left_semi").withColumn("group", F.struct("path", "source"))
+    rows = top(rows, keep, F.desc("importance"), F.col("id"), by="group").withColumnRenamed("place", "within")
+    first = top(rows.where("within = 1"), keep, F.desc("importance"), F.col("id"), by="path").select("group")
+    return rows.join(first, "group", "left_semi").select("path", "id", "importance")
+
+
 def module_communities(edges: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
     """path, imports: the folders whose files have the most cross-file imports, by distinct pairs of files."""
     place = chunks.select("id", "file_path")
