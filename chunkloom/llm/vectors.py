@@ -4,9 +4,9 @@ A unit vector is put through pseudo-rotations (random signs, then a fast
 Hadamard transform, three times) and hashed to the nearest signed axis.  Each of
 several tables joins a few such hashes into a bucket.  A vector lies in one
 bucket of a table and is also looked up in the buckets of its next best axes
-(multiprobe).  Candidates that share a bucket are compared there with 16-bit
-copies of the vectors; only pairs near the wanted similarity leave the bucket
-and are reranked with the exact vectors.
+(multiprobe).  Candidates that share a bucket are compared there in double;
+only the best of each vector at the wanted similarity leave the bucket and are
+reranked over all buckets.
 
 Copies of one vector are one class: only its smallest ids, k + 1 of them, can be
 among anybody's k most similar when ties go to the smaller id, so the others
@@ -98,7 +98,14 @@ def _padded(rows: list, dim: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, dim - x.shape[1])))
 
 
-def _hashed(flips: np.ndarray, probes: int):
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double, of length 1."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _hashed(flips: np.ndarray, probes: int, dtype: type):
     """Rows (bucket, id, asks, v): a vector in its own bucket, and asking in its probed ones."""
     dim = flips.shape[-1]
 
@@ -107,8 +114,7 @@ def _hashed(flips: np.ndarray, probes: int):
             if pdf.empty:
                 continue
             x = _padded(list(pdf.v), dim)
-            half = x.astype(np.float16)
-            raw = np.array([r.tobytes() for r in half], object)
+            raw = np.array([np.asarray(r, dtype).tobytes() for r in pdf.v], object)
             ids = pdf.id.to_numpy()
             for t, table in enumerate(flips):
                 code = buckets(x, table, probes) * len(flips) + t
@@ -130,27 +136,37 @@ def _own_buckets(flips: np.ndarray):
     return run
 
 
-def _near(least: float, k: int, dim: int):
+def _best(row: np.ndarray, ids: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` entries of each row of greatest similarity, of equal ones those of smaller id."""
+    order = np.lexsort((ids, -sim, row))
+    row, ids, sim = row[order], ids[order], sim[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    return row[place < most], ids[place < most], sim[place < most]
+
+
+def _near(least: float, k: int, dim: int, dtype: type):
     """Rows (a, b) of a bucket's vectors near each other; rows come sorted by bucket.
 
     Each vector, owner or asker, is compared with the bucket's owners in blocks;
-    its best k + 4 at `least` or more go on.
+    its best k + 4 at `least` or more go on.  Similarities count to 12 places, so
+    what differs by rounding alone is a tie and goes to the smaller id.
     """
-    slack, more = 2e-3, k + 4
+    slack, more = 1e-9, k + 4
 
     def pairs(owner_ids, owners, ids, xs):
-        best_s = np.full((len(ids), more), -2, np.float32)
-        best_i = np.zeros((len(ids), more), np.int64)
+        held = []
         for s in range(0, len(owner_ids), BLOCK):
-            sim = xs @ owners[s : s + BLOCK].T
-            sim[ids[:, None] == owner_ids[None, s : s + BLOCK]] = -2
-            sim = np.concatenate((best_s, sim), axis=1)
-            who = np.concatenate((best_i, np.broadcast_to(owner_ids[None, s : s + BLOCK], (len(ids), len(owner_ids[s : s + BLOCK])))), axis=1)
-            # ties go to the smaller id
-            top = np.argpartition(-sim, more - 1, axis=1)[:, :more]
-            best_s, best_i = np.take_along_axis(sim, top, 1), np.take_along_axis(who, top, 1)
-        row, col = np.nonzero(best_s >= least - slack)
-        a, b = ids[row], best_i[row, col]
+            theirs = owner_ids[s : s + BLOCK]
+            sim = np.round(xs @ owners[s : s + BLOCK].T, 12)
+            sim[ids[:, None] == theirs[None, :]] = -2
+            floor = np.full((len(ids), 1), least - slack)
+            if len(theirs) > more:
+                floor = np.maximum(floor, np.partition(sim, -more, axis=1)[:, [-more]])
+            row, col = np.nonzero(sim >= floor)
+            held.append(_best(row, theirs[col], sim[row, col], more))
+        row, who, _ = _best(*[np.concatenate(z) for z in zip(*held)], more)
+        a, b = ids[row], who
         return np.minimum(a, b), np.maximum(a, b)
 
     def bucket(own_ids, own, ask_ids, ask):
@@ -163,7 +179,7 @@ def _near(least: float, k: int, dim: int):
 
         def flush(parts):
             g = pd.concat(parts) if len(parts) > 1 else parts[0]
-            x = np.frombuffer(b"".join(g.v), np.float16).reshape(-1, dim).astype(np.float32)
+            x = _unit(np.frombuffer(b"".join(g.v), dtype).reshape(-1, dim))
             code, ids, asks = g.bucket.to_numpy(), g.id.to_numpy(), g.asks.to_numpy()
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             found = []
@@ -206,20 +222,21 @@ def candidates(vectors: DataFrame, n: int, dim: int, k: int, least: float, table
     flips = signs(tables, hashes_per_bucket(n, width), width, seed)
     owners = vectors.mapInPandas(_own_buckets(flips), "bucket long").groupBy("bucket").count()
     large = owners.where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
-    hashed = vectors.mapInPandas(_hashed(flips, probes), "bucket long, id long, asks boolean, v binary")
+    dtype = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    hashed = vectors.mapInPandas(_hashed(flips, probes, dtype), "bucket long, id long, asks boolean, v binary")
     spread = hashed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "block"))
     placed = spread.select(key.alias("bucket"), "id", (F.col("asks") | (F.col("block") != own)).alias("asks"), "v")
     placed = placed.repartition("bucket").sortWithinPartitions("bucket")
-    return placed.mapInPandas(_near(least, k, width), "a long, b long").distinct()
+    return placed.mapInPandas(_near(least, k, dim, dtype), "a long, b long").distinct()
 
 
 def most_similar(rows: DataFrame, id_col: str, vector: str, dim: int = 64, k: int = 5, least: float = 0.9, **how) -> DataFrame:
     """id, other, similarity, rank: up to k most similar others of each id, at `least` or more.
 
-    Equal similarities: the smaller id first.  Rows are treated as `usable`
+    Similarities equal to 12 places: the smaller id first.  Rows are treated as `usable`
     says.  Of copies of one vector only the k + 1 smallest ids are given as
     `other`, which is what the tie rule gives anyway; the further copies have
     their rows too.  An empty table gives no rows.
@@ -237,11 +254,11 @@ def most_similar(rows: DataFrame, id_col: str, vector: str, dim: int = 64, k: in
     both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     own = classes.where(F.size("ids") > 1).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
     by_class = both.unionByName(own).join(classes.select(F.col("rep").alias("b"), "ids"), "b").select("a", "similarity", F.explode("ids").alias("other"))
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "other")
+    best = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 12)), "other")
     # one more than k, because the id itself may be among the members of its class
     short = by_class.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     members = vectors.join(classes.select("v", "rep"), "v").select("id", F.col("rep").alias("a"))
-    mine = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    mine = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "other")
     out = members.join(short, "a").where(F.col("id") != F.col("other")).withColumn("rank", F.row_number().over(mine))
     return out.where(F.col("rank") <= k).select("id", "other", "similarity", "rank")
 

@@ -67,5 +67,25 @@ def test_copies_ties_bad_vectors_and_repeats(spark):
     assert pairs == {(a, b) for a in range(1, 7) for b in range(a + 1, 7)}
 
 
+def mutual_brute(ids, x, k, least):
+    best = brute(ids, x, k, least)
+    return {(a, b) for a, b in best if a < b and (b, a) in best}
+
+
+def test_near_copies_and_scaled_copies(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=64) + 0.014 * rng.normal(size=(500, 64))).astype(np.float32)
+    ids = np.arange(1, 501)
+    got = {(r.a, r.b) for r in V.mutual(V.most_similar(table(spark, rows_of(ids, x)), "chunk_id", "embedding")).collect()}
+    assert got == mutual_brute(ids, x, 5, 0.9)
+    one = rng.normal(size=64).astype(np.float32)
+    y = one * rng.uniform(0.5, 4, (60, 1)).astype(np.float32)
+    got = {(r.a, r.b) for r in V.mutual(V.most_similar(table(spark, rows_of(ids[:60][::-1], y)), "chunk_id", "embedding")).collect()}
+    s = np.asarray(y, np.float64)
+    s /= np.linalg.norm(s, axis=1, keepdims=True)
+    assert (s @ s.T).round(12).min() == 1.0
+    assert got == {(a, b) for a in range(1, 7) for b in range(a + 1, 7)}
+
+
 def test_empty(spark):
     assert V.most_similar(table(spark, []), "chunk_id", "embedding").count() == 0
