@@ -48,6 +48,24 @@ def hashes_per_bucket(n: int, dim: int, fill: int = 24) -> int:
     return max(1, round(math.log(max(n, 2) / fill) / math.log(2 * dim)))
 
 
+def tables_needed(hashes: int, dim: int, least: float, probes: int, miss: float = 1e-4, pairs: int = 8000) -> int:
+    """Tables with which a pair of similarity `least` shares no probed bucket in only `miss` of all cases.
+
+    How often one table brings such pairs together is drawn from random ones, in
+    their own buckets and in the probed ones of either.
+    """
+    rng = np.random.default_rng(29)
+    a, b = _unit(rng.normal(size=(pairs, dim))), rng.normal(size=(pairs, dim))
+    c = min(max(least, 0.0), 1.0)
+    b = c * a + math.sqrt(1 - c * c) * _unit(b - (a * b).sum(1, keepdims=True) * a)
+    hit = 0
+    groups = np.array_split(np.arange(pairs), 4)
+    for own, flips in zip(groups, signs(len(groups), hashes, dim, 31)):
+        x, y = (buckets(z[own].astype(np.float32), flips, probes) for z in (a, b))
+        hit += int(((x == y[:, :1]) | (y == x[:, :1])).any(axis=1).sum())
+    return max(1, math.ceil(math.log(miss) / math.log1p(-min(max(hit, 1) / pairs, 1 - miss))))
+
+
 def signs(tables: int, hashes: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (tables, hashes, 3, dim))
 
@@ -211,15 +229,17 @@ def _near(least: float, k: int, dim: int, dtype: type):
     return run
 
 
-def candidates(vectors: DataFrame, n: int, dim: int, k: int, least: float, tables: int = 5, probes: int = 3, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def candidates(vectors: DataFrame, n: int, dim: int, k: int, least: float, tables: int | None = None, probes: int = 3, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct (a, b), a < b, of vectors (id, v) that share a probed bucket and are near `least` or above.
 
     A bucket of more than `bucket_rows` vectors is split into blocks of its
     owners; whoever asks in it, its own vectors included, asks in every block.
-    So all of its pairs are still compared, in tasks of bounded size.
+    So all of its pairs are still compared, in tasks of bounded size.  Unless
+    given, `tables` grow with the hashes of a bucket, so that recall stays.
     """
     width = 1 << max(0, dim - 1).bit_length()
-    flips = signs(tables, hashes_per_bucket(n, width), width, seed)
+    hashes = hashes_per_bucket(n, width)
+    flips = signs(tables or tables_needed(hashes, width, least, probes), hashes, width, seed)
     owners = vectors.mapInPandas(_own_buckets(flips), "bucket long").groupBy("bucket").count()
     large = owners.where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
     dtype = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64

@@ -87,5 +87,21 @@ def test_near_copies_and_scaled_copies(spark):
     assert got == {(a, b) for a in range(1, 7) for b in range(a + 1, 7)}
 
 
+@pytest.mark.parametrize("n, hashes", [(20_000, 1), (100_000, 2), (10_000_000, 3)])
+def test_recall_near_the_threshold_at_every_size(spark, n, hashes):
+    assert V.hashes_per_bucket(n, 64) == hashes
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 800, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.902 * a + (1 - 0.902**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    ids, x = np.arange(1, 1601), np.concatenate((a, b)).astype(np.float32)
+    vectors = spark.createDataFrame([(int(i), [float(z) for z in v]) for i, v in zip(ids, x)], "id long, v array<float>")
+    got = {(r.a, r.b) for r in V.candidates(vectors, n, 64, 5, 0.9).collect()}
+    want = {(i, j) for i, j in brute(ids, x, 5, 0.9) if i < j}
+    assert len(want) >= 800
+    assert len(got & want) >= 0.995 * len(want)
+
+
 def test_empty(spark):
     assert V.most_similar(table(spark, []), "chunk_id", "embedding").count() == 0
