@@ -81,6 +81,20 @@ def graph_neighbourhood(spark, sf_dir):
     return graph.reached(edges, seeds, 2).groupBy("origin", "depth").agg(F.count("*").alias("nodes"))
 
 
+def entity_closure_all(spark, sf_dir):
+    """As `entity_closure`, along open edges of every type."""
+    (deps,) = _t(spark, sf_dir, "entity_dependencies")
+    edges = graph.entity_edges(deps)
+    return graph.reached(edges, _seeds(edges), 2)
+
+
+def graph_neighbourhood_all(spark, sf_dir):
+    """As `graph_neighbourhood`, of every twentieth entity."""
+    (deps,) = _t(spark, sf_dir, "entity_dependencies")
+    edges = graph.undirected(graph.entity_edges(deps))
+    return graph.reached(edges, _seeds(edges), 2).groupBy("origin", "depth").agg(F.count("*").alias("nodes"))
+
+
 def file_dependencies(spark, sf_dir):
     """Distinct pairs of files between which an edge runs, with the number of edges."""
     (chunks,) = _t(spark, sf_dir, "chunks")
@@ -230,7 +244,7 @@ def community_summary(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p4_found, p4_report, p6_found, p6_paths, materialised_edges, graph_closure_depth, graph_dependents, entity_closure, graph_neighbourhood, file_dependencies, structural_importance, contains_lookup, override_edges, seed_entities, graph_boost_scored, context_expand, facts_at, fact_history, current_facts, supersede_facts, entity_upsert, mention_counter, hints_template, hints_relational, hints_memory, hints_concatenated, hint_search, directory_communities, module_communities, type_hierarchy, community_search, community_members, community_summary)
+    for f in (p4_found, p4_report, p6_found, p6_paths, materialised_edges, graph_closure_depth, graph_dependents, entity_closure, entity_closure_all, graph_neighbourhood, graph_neighbourhood_all, file_dependencies, structural_importance, contains_lookup, override_edges, seed_entities, graph_boost_scored, context_expand, facts_at, fact_history, current_facts, supersede_facts, entity_upsert, mention_counter, hints_template, hints_relational, hints_memory, hints_concatenated, hint_search, directory_communities, module_communities, type_hierarchy, community_search, community_members, community_summary)
 }
 
 _ORPHANS = r"""
@@ -298,6 +312,8 @@ SQL: dict[str, str] = {
     "graph_dependents": S.with_(S.EDGES, S.ENTITIES, S.RELATIONS, _closure(_BACK_EDGES, "src % 20 = 0", 3), recursive=True) + "select * from near where depth > 0",
     "entity_closure": S.with_(S.EDGES, _closure("select distinct src, dst from edges where rel_type <> 'contains'", "src % 20 = 0", 2), recursive=True) + "select * from near where depth > 0",
     "graph_neighbourhood": S.with_(S.EDGES, _UNDIRECTED, _closure("select src, dst from und", "src % 100 = 0", 2), recursive=True) + "select origin, depth, count(*) as nodes from near where depth > 0 group by 1, 2",
+    "entity_closure_all": S.with_(S.EDGES, _closure("select distinct src, dst from edges", "src % 20 = 0", 2), recursive=True) + "select * from near where depth > 0",
+    "graph_neighbourhood_all": S.with_(S.EDGES, _UNDIRECTED, _closure("select src, dst from und", "src % 20 = 0", 2), recursive=True) + "select origin, depth, count(*) as nodes from near where depth > 0 group by 1, 2",
     "file_dependencies": S.with_(S.LATEST, S.EDGES, S.ENTITIES, S.RELATIONS) + "select a.file_path as source, b.file_path as target, count(*) as edges from rels join live a on a.id = src join live b on b.id = dst where a.file_path <> b.file_path group by 1, 2",
     "structural_importance": S.with_(S.LATEST, S.EDGES, S.ENTITIES, S.RELATIONS, "i as (select dst as id, count(*) n from rels where rel_type in ('imports', 'calls') group by 1)", "h as (select src as id, count(*) n from rels where rel_type = 'contains' group by 1)", "b as (select distinct chunk_id as id from entity_attributes where kind = 'constraint' and chunk_id is not null)")
     + "select l.id, round(least(greatest(l.importance * (0.3 + 0.3 * log10(1 + coalesce(i.n, 0)) + 0.2 * log10(1 + coalesce(h.n, 0)) + case when b.id is not null then 0.2 else 0 end), 0.1), 1.0), 6) as importance from live l left join i using (id) left join h using (id) left join b using (id)",
