@@ -141,6 +141,14 @@ def context_expand(spark, sf_dir):
     return graph.context(edges, edges, seeds, chunks, depth=1, most=20).select("query_id", "id", "score")
 
 
+def context_expand_full(spark, sf_dir):
+    """As `context_expand`, two hops deep and up to 50 chunks, the operator's defaults."""
+    chunks, ents, deps = _t(spark, sf_dir, "chunks", "entities", "entity_dependencies")
+    edges = _relations(spark, sf_dir)
+    seeds = _seeds(edges).select(F.col("node").alias("query_id"), "node")
+    return graph.context(edges, edges, seeds, chunks).select("query_id", "id", "score")
+
+
 def facts_at(spark, sf_dir):
     (deps,) = _t(spark, sf_dir, "entity_dependencies")
     held = entities.facts_at(deps, F.lit("2025-07-01 00:00:00").cast("timestamp"))
@@ -244,7 +252,7 @@ def community_summary(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p4_found, p4_report, p6_found, p6_paths, materialised_edges, graph_closure_depth, graph_dependents, entity_closure, entity_closure_all, graph_neighbourhood, graph_neighbourhood_all, file_dependencies, structural_importance, contains_lookup, override_edges, seed_entities, graph_boost_scored, context_expand, facts_at, fact_history, current_facts, supersede_facts, entity_upsert, mention_counter, hints_template, hints_relational, hints_memory, hints_concatenated, hint_search, directory_communities, module_communities, type_hierarchy, community_search, community_members, community_summary)
+    for f in (p4_found, p4_report, p6_found, p6_paths, materialised_edges, graph_closure_depth, graph_dependents, entity_closure, entity_closure_all, graph_neighbourhood, graph_neighbourhood_all, file_dependencies, structural_importance, contains_lookup, override_edges, seed_entities, graph_boost_scored, context_expand, context_expand_full, facts_at, fact_history, current_facts, supersede_facts, entity_upsert, mention_counter, hints_template, hints_relational, hints_memory, hints_concatenated, hint_search, directory_communities, module_communities, type_hierarchy, community_search, community_members, community_summary)
 }
 
 _ORPHANS = r"""
@@ -327,6 +335,9 @@ SQL: dict[str, str] = {
     "context_expand": S.with_(S.LATEST, S.EDGES, S.ENTITIES, S.RELATIONS, "w as (select src, dst, rel_type, case rel_type when 'calls' then 0.9 when 'imports' then 0.7 when 'extends' then 0.6 when 'implements' then 0.6 when 'overrides' then 0.55 when 'contains' then 0.4 when 'references' then 0.35 end as s from rels)", "seeds as (select distinct src as q from rels where src % 20 = 0)", "near as (select q, q as node from seeds union select q, dst from seeds join w on src = q where s is not null)",
     "f as (select n.q, w.dst as id, s from near n join w on w.src = n.node where s is not null union all select n.q, w.src, s from near n join w on w.dst = n.node where rel_type in ('calls', 'contains') union all select q, dst, 0.3 from seeds join rels on src = q union all select q, src, 0.3 from seeds join rels on dst = q)", "g as (select f.q, f.id, max(s) as score from f where f.id <> f.q group by 1, 2)")
     + "select q as query_id, id, score::double as score from (select g.*, row_number() over (partition by q order by score desc, l.importance desc, g.id) n from g join live l on l.id = g.id) where n <= 20",
+    "context_expand_full": S.with_(S.LATEST, S.EDGES, S.ENTITIES, S.RELATIONS, "w as (select src, dst, rel_type, case rel_type when 'calls' then 0.9 when 'imports' then 0.7 when 'extends' then 0.6 when 'implements' then 0.6 when 'overrides' then 0.55 when 'contains' then 0.4 when 'references' then 0.35 end as s from rels)", "seeds as (select distinct src as q from rels where src % 20 = 0)", "one as (select q, q as node from seeds union select q, dst from seeds join w on src = q where s is not null)", "near as (select q, node from one union select q, dst from one join w on src = node where s is not null)",
+    "f as (select n.q, w.dst as id, s from near n join w on w.src = n.node where s is not null union all select n.q, w.src, s from near n join w on w.dst = n.node where rel_type in ('calls', 'contains') union all select q, dst, 0.3 from seeds join rels on src = q union all select q, src, 0.3 from seeds join rels on dst = q)", "g as (select f.q, f.id, max(s) as score from f where f.id <> f.q group by 1, 2)")
+    + "select q as query_id, id, score::double as score from (select g.*, row_number() over (partition by q order by score desc, l.importance desc, g.id) n from g join live l on l.id = g.id) where n <= 50",
     "facts_at": S.with_(_DEPS) + "select id, source_entity, target_entity, lower(trim(dep_type)) as dep_type from deps where valid_from <= timestamptz '2025-07-01 00:00:00+00' and (valid_to is null or timestamptz '2025-07-01 00:00:00+00' < valid_to)",
     "fact_history": "with d as (select distinct source_entity, target_entity, lower(trim(dep_type)) as dep_type, valid_from, valid_to from entity_dependencies) select source_entity, target_entity, dep_type, row_number() over (partition by source_entity, target_entity, dep_type order by valid_from, valid_to nulls last) as version, count(*) over (partition by source_entity, target_entity, dep_type) as versions, epoch_us(valid_from) as valid_from from d",
     "current_facts": S.with_(_DEPS) + f"select lower(trim(dep_type)) as dep_type, count(*) as facts, round(avg(strength), 6) as strength from deps where {_OPEN} group by 1",
