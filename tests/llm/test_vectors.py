@@ -87,7 +87,7 @@ def test_near_copies_and_scaled_copies(spark):
     assert got == {(a, b) for a in range(1, 7) for b in range(a + 1, 7)}
 
 
-@pytest.mark.parametrize("n, hashes", [(20_000, 1), (100_000, 2), (10_000_000, 3)])
+@pytest.mark.parametrize("n, hashes", [(100_000, 1), (10_000_000, 2), (500_000_000, 3)])
 def test_recall_near_the_threshold_at_every_size(spark, n, hashes):
     assert V.hashes_per_bucket(n, 64) == hashes
     rng = np.random.default_rng(6)
@@ -103,5 +103,27 @@ def test_recall_near_the_threshold_at_every_size(spark, n, hashes):
     assert len(got & want) >= 0.995 * len(want)
 
 
+@pytest.mark.parametrize("noise", [0.003, 0.01, 0.15])
+@pytest.mark.parametrize("bucket_rows", [50, 20_000])
+def test_recall_on_tight_and_spread_clusters(spark, noise, bucket_rows):
+    ids, x = clusters(1000, 64, noise, seed=3, groups=10)
+    got = {(r.id, r.other) for r in V.most_similar(table(spark, rows_of(ids, x)), "chunk_id", "embedding", bucket_rows=bucket_rows).collect()}
+    want = brute(ids, x, 5, 0.9)
+    assert len(got & want) >= 0.98 * len(want)
+
+
+def test_tiles_of_a_hot_bucket_are_bounded(spark):
+    rows = [(1, i, 0 if i < 300 else 1, b"v") for i in range(500)] + [(2, 7, 0, b"v")]
+    placed = spark.createDataFrame(rows, "bucket long, id long, role int, v binary")
+    large = spark.createDataFrame([(1, 6, 10)], "bucket long, owns int, askers int")
+    out = V._tiled(placed, large).toPandas()
+    hot = out[out.bucket != 2]
+    sizes = hot.groupby(["bucket", "role"]).size().unstack()
+    assert len(sizes) == 60 and sizes[1].max() < 90 and sizes[2].max() < 90
+    seen = {(a, o) for _, g in hot.groupby("bucket") for a in g.id[g.role == 1] for o in g.id[g.role == 2]}
+    assert seen == {(a, o) for a in range(500) for o in range(300)}
+    assert out[out.bucket == 2][["id", "role"]].values.tolist() == [[7, 0]]
+
+
 def test_empty(spark):
     assert V.most_similar(table(spark, []), "chunk_id", "embedding").count() == 0
