@@ -47,6 +47,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id")
 
 
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("removed > 0")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.found(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p9_removed": p9_removed, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {
     "p1_found": """with v as (select distinct chunk_id as id, embedding::double[] as e from chunks_vec where len(embedding) = 64 and list_max(list_transform(embedding, lambda x: abs(x))) > 0),

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from chunkloom.llm import leakage as L
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -78,9 +80,48 @@ def test_rules(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_WORDS", 100)
+    monkeypatch.setattr(L, "ITEM_CHARS", 300)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 60_000)
     rng = random.Random(6)
     items = [item(rng, 40) for _ in range(12)]
     d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "doc_id long, text string")
     i = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in L.found(d, i).collect()} == {(k, k) for k in range(12)}
+
+
+@pytest.mark.parametrize("n", [20, 100, 400, 1600])
+@pytest.mark.parametrize("kind", ["added", "changed"])
+def test_long_items_with_one_word_in_eight(n, kind):
+    rng = random.Random(n)
+    words = [f"u{rng.randrange(5000)}" for _ in range(n)]
+    body = [y for k, w in enumerate(words) for y in (([w, "more"] if kind == "added" else ["other"]) if k % 8 == 3 else [w])]
+    doc = [f"u{rng.randrange(5000)}" for _ in range(300)] + body + [f"u{rng.randrange(5000)}" for _ in range(300)]
+    auto = L.build([words])
+    (found,) = L.leaks(auto, [[auto.vocabulary.get(w, -1) for w in doc]])
+    assert n - 4 <= found[2] + (0 if kind == "added" else (n + 4) // 8) <= n
+    assert abs(found[3] - 300) <= 5 and abs(found[4] - 300 - len(body)) <= 5
+
+
+def test_each_passage_of_an_item_comes_out():
+    words = [f"v{k}" for k in range(30)]
+    doc = ["x"] * 3 + words + ["x"] * 5 + words[:20] + ["x"] * 300 + words
+    auto = L.build([words])
+    found = L.leaks(auto, [[auto.vocabulary.get(w, -1) for w in doc]])
+    assert sorted(x[2:] for x in found) == [(20, 38, 58), (30, 3, 33), (30, 358, 388)]
+
+
+def test_scrub_keeps_all_else():
+    text = "<p>Hello \"caf&eacute;\" w\\u00f6rld\\n <b>big</b> ﬁne été day"
+    assert L.words(text) == ["hello", "café", "wörld", "big", "fine", "été", "day"]
+    assert L.scrub(text, [(1, 3)]) == "<p>Hello \"\\n <b>big</b> ﬁne été day"
+    assert L.scrub(text, [(5, 6), (4, 5)]) == "<p>Hello \"caf&eacute;\" w\\u00f6rld\\n <b>big</b>  day"
+    assert L.scrub(None, [(0, 1)]) is None and L.scrub("", [(0, 1)]) == ""
+
+
+def test_without_leaks(spark):
+    words = [f"w{k}" for k in range(40)]
+    d = spark.createDataFrame([(1, "<b>before</b> " + " ".join(words) + " after."), (2, "nothing here"), (3, None), (4, "")], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    out = {r.doc_id: (r.text, r.removed) for r in L.without_leaks(d, i).collect()}
+    assert out == {1: ("<b>before</b>  after.", 40), 2: ("nothing here", 0), 3: (None, 0), 4: ("", 0)}
+    assert L.without_leaks(d, i, least=41).where("removed > 0").count() == 0
