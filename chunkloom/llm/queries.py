@@ -23,7 +23,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credentials.findings(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no").distinct()
+    found = credentials.findings(table(spark, sf_dir, "chunks")).where(F.col("rule") != credentials.CONTINUED)
+    return found.select("chunk_id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select("id", "language", "content_raw")
+    return credentials.redacted(chunks).select("id", "content_raw")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,7 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p9_removed": p9_removed, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p9_removed": p9_removed, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {
     "p1_found": """with v as (select distinct chunk_id as id, embedding::double[] as e from chunks_vec where len(embedding) = 64 and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
