@@ -81,6 +81,9 @@ _COMMANDS = (
     re.compile(r"\bsshpass[^\S\n]+-p[^\S\n]*[\"']?(?P<v>[^\s\"']+)"),
     re.compile(r"(?i)\b(?:login|user(?:name)?|machine|account)[^\S\n]+\S+[^\S\n]+(?:with[^\S\n]+)?(?:password|passwd|passwort|pass|kennwort|pw)[^\S\n]*[:=]?[^\S\n]+[\"']?(?P<v>[^\s\"']+)"),
 )
+#: What a text must hold, in lower case, for the rules of the same name to find anything.
+_PAIR_WORDS = ("accesskey", "accountkey", "password", "pwd", "sharedsecret", "_auth")
+_COMMAND_WORDS = (("mysql", "mariadb"), ("-u", "--user"), ("-pass", "-token", "-api", "-secret", "-auth", "-access"), ("sshpass",), ("pass", "kennwort", "pw"))
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _KEY_LINES = re.compile(r"(?:[^\S\n]*\n(?:[^\S\n]*(?:#|//|--|\*|;|[\"'`+.])*[^\S\n]*[\"'`]?(?:[A-Za-z0-9+/=]{16,}|[A-Z][\w-]+: [^\n]*)?(?:\\n)?[\"'`]?[^\S\n]*[+\\,;]?[^\S\n]*(?=\n|\Z))?)*")
 _BODY = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}")
@@ -232,11 +235,12 @@ def _patterns(text: str) -> Iterator[tuple[int, int, str]]:
         r = m["r"]
         if unnatural(r, 16) and re.search(r"\d", r) and re.search(r"[a-z]", r) and re.search(r"[A-Z]", r):
             yield *m.span("v"), "vendor"
-    if "://" in text:
+    low = text.lower()
+    if "://" in text and "@" in text:
         for m in _URL.finditer(text):
             if not placeholder(m["v"]) and expected(m["v"]):
                 yield *m.span("v"), "url"
-    if "=" in text:
+    if "=" in text and any(w in low for w in _PAIR_WORDS):
         for m in _PAIR.finditer(text):
             own = strength(m[0].split("=")[0].strip()) != 2 or m[0].lower().startswith(("sharedaccesskey", "accountkey", "_auth"))
             if own and not placeholder(m["v"]) and expected(m["v"]):
@@ -251,12 +255,12 @@ def _patterns(text: str) -> Iterator[tuple[int, int, str]]:
                 yield *m.span("v"), "header"
         elif unnatural(v, 16) and re.search(r"\d", v):
             yield *m.span("v"), "header"
-    if "-" in text:
+    if "x-" in low:
         for m in _KEY_HEADER.finditer(text):
             if not placeholder(m["v"]) and unnatural(m["v"]):
                 yield *m.span("v"), "header"
-    for command in _COMMANDS:
-        for m in command.finditer(text):
+    for command, needs in zip(_COMMANDS, _COMMAND_WORDS):
+        for m in command.finditer(text) if any(w in low for w in needs) else ():
             if not placeholder(m["v"]) and expected(m["v"]):
                 yield *m.span("v"), "command"
 
