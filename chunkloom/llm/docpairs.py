@@ -40,8 +40,18 @@ _SIGNATURES = {
     "shell": re.compile(r"^[ \t]*(?:function[ \t]+(?P<a>[\w:.-]+)[ \t]*(?:\(\)[ \t]*)?\{?[ \t]*$|(?P<b>[\w:.-]+)[ \t]*\(\)[ \t]*\{?)", re.M),
 }
 _SIGNATURES["cpp"] = _SIGNATURES["c"]
+_SIGNATURES |= {
+    "csharp": re.compile(rf"^[ \t]*(?:(?:public|protected|private|internal|static|virtual|override|abstract|sealed|async|partial|extern|unsafe|new|readonly)[ \t]+)*{_NOT_NAMES}(?:[\w.]+(?:<[^()\n;=]*>)?\??(?:\[,*\])*\??[ \t]+)(?P<a>{_NOT_NAMES}\w+)[ \t]*(?:<[^>\n]+>)?[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\)[^;{{}}=]*(?:\{{|=>)", re.M),
+    "kotlin": re.compile(r"^[ \t]*(?:(?:public|private|protected|internal|open|override|abstract|final|suspend|inline|tailrec|operator|infix|external|actual|expect)[ \t]+)*fun[ \t]+(?:<[^>\n]+>[ \t]*)?(?:[\w.]+(?:<[^>\n]*>)?\??\.)?(?P<a>\w+)[ \t]*\(", re.M),
+    "swift": re.compile(r"^[ \t]*(?:(?:public|private|fileprivate|internal|open|static|class|final|override|mutating|nonmutating|required|convenience)[ \t]+)*func[ \t]+(?P<a>\w+)[ \t]*(?:<[^>\n]+>)?[ \t]*\(", re.M),
+    "php": re.compile(r"^[ \t]*(?:(?:public|private|protected|static|abstract|final)[ \t]+)*function[ \t]+&?(?P<a>\w+)[ \t]*\(", re.M),
+    "scala": re.compile(r"^[ \t]*(?:(?:private(?:\[\w+\])?|protected|override|final|implicit|inline|lazy)[ \t]+)*def[ \t]+(?P<a>\w+)", re.M),
+    "dart": re.compile(rf"^[ \t]*(?:(?:static|external|abstract|final|covariant)[ \t]+)*{_NOT_NAMES}(?:[\w.]+(?:<[^()\n;=]*>)?\??[ \t]+)(?P<a>{_NOT_NAMES}\w+)[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\)[ \t]*(?:async\*?[ \t]*|sync\*[ \t]*)?(?:\{{|=>)", re.M),
+}
+#: Languages in which a body may be an expression without braces.
+_EXPRESSIONS = ("csharp", "kotlin", "scala", "dart")
 #: File name endings of languages, where the language is missing.
-_ENDINGS = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "lua": "lua", "sh": "shell", "bash": "shell"}
+_ENDINGS = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "lua": "lua", "sh": "shell", "bash": "shell", "cs": "csharp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "php": "php", "scala": "scala", "dart": "dart"}
 
 #: Marks that begin a comment line, by language.
 _LINE_COMMENT = {"python": "#", "ruby": "#", "shell": "#", "lua": "--"}
@@ -56,6 +66,7 @@ _DECORATOR = {
     "ruby": re.compile(r"(?:private|public|protected|memoize|sig)\b[^=(]*$"),
 }
 _DECORATOR["cpp"] = _DECORATOR["c"]
+_DECORATOR |= {"csharp": re.compile(r"\["), "php": re.compile(r"#\[")} | dict.fromkeys(("kotlin", "swift", "scala", "dart"), _DECORATOR["java"])
 _DOCSTRING = re.compile(r"\s*(?:#[^\n]*\n\s*)*[rRuUbB]{0,2}(\"\"\"|'''|\"|')")
 _BLOCKS = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _TRIPLE = re.compile(r"(\"\"\"|''').*?(?:\1|\Z)", re.S)
@@ -125,7 +136,7 @@ def comment_above(lines: list[str], at: int, language: str) -> list[str]:
             if not lines[max(k, 0)].strip().startswith(opening):
                 return []
             break
-        if decorator and not found and line[-1] in ")]" and language in ("python", "java", "typescript", "javascript", "rust"):
+        if decorator and not found and line[-1] in ")]" and language not in ("c", "cpp", "go", "ruby"):
             start = _decorator_start(lines, k, decorator)
             if start is not None:
                 k = start - 1
@@ -137,7 +148,7 @@ def comment_above(lines: list[str], at: int, language: str) -> list[str]:
 def _decorator_start(lines: list[str], at: int, decorator: re.Pattern) -> int | None:
     """The first line of a decorator over several lines that ends at line `at`."""
     depth = 0
-    for k in range(at, max(-1, at - 30), -1):
+    for k in range(at, -1, -1):
         line = lines[k]
         if not line.strip():
             return None
@@ -264,20 +275,25 @@ def body_end(lines: list[str], at: int, language: str) -> int:
             if depth <= 0:
                 return k + 1
         return len(lines)
-    depth, seen = 0, False
+    depth, seen, parens = 0, False, 0
     for k in range(at, len(lines)):
         line = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`|//.*$", "", lines[k])
+        parens += line.count("(") - line.count(")")
         depth += line.count("{") - line.count("}")
         seen = seen or "{" in line
         if seen and depth <= 0:
             return k + 1
         if not seen and line.rstrip().endswith(";"):
             return k + 1
+        if not seen and language in _EXPRESSIONS and parens <= 0:
+            below = next((x for x in lines[k + 1 :] if x.strip()), "")
+            if len(below) - len(below.lstrip()) <= indent and not below.lstrip().startswith(("{", "=", ":", "where")):
+                return k + 1
     return len(lines)
 
 
-def functions(text: str | None, language: str | None, path: str | None = None) -> Iterator[tuple[str, str, str, bool]]:
-    """(name, documentation, code, trivial) of each declared function that has any documentation."""
+def functions(text: str | None, language: str | None, path: str | None = None) -> Iterator[tuple[str, int, str, str, bool]]:
+    """(name, 1-based line, documentation, code, trivial) of each declared function that has any documentation."""
     name_of = language_of(language, path)
     if not text or not name_of:
         return
@@ -299,32 +315,34 @@ def functions(text: str | None, language: str | None, path: str | None = None) -
         docs = [d for d in map(cleaned, docs) if any(d)]
         if docs:
             good = [d for d in docs if not trivial(d, name)]
-            yield name, "\n".join((good or docs)[0]).strip(), (row, name_of, lines), not good
+            yield name, row + 1, "\n".join((good or docs)[0]).strip(), "\n".join(lines[row : body_end(lines, row, name_of)]), not good
 
 
-def pairs(chunks: DataFrame, code: bool = True) -> DataFrame:
-    """chunk_id, func_name, documentation, code of each documented function.
+def pairs(chunks: DataFrame) -> DataFrame:
+    """chunk_id, func_name, line_no, documentation, code of each documented function.
 
-    Chunks of the types in KINDS, deleted ones included.  Null or empty texts and
-    unknown languages have no functions.  Repeated rows of a chunk give one row a
-    function; of equally named functions of a chunk the longest pair stays.
-    Functions whose documentation is missing or trivial are dropped.
+    line_no is the 1-based line of the declaration, so that functions of one name
+    in a chunk stay apart.  Chunks of the types in KINDS, deleted ones included.
+    Null or empty texts and unknown languages have no functions.  Repeated rows
+    of a chunk give one row a function.  Functions whose documentation is missing
+    or trivial are dropped.
     """
-    schema = "chunk_id long, func_name string, documentation string, code string"
+    schema = "chunk_id long, func_name string, line_no int, documentation string, code string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, language, path, text in zip(pdf.id.tolist(), pdf.language.tolist(), pdf.file_path.tolist(), pdf.content_raw.tolist()):
-                for name, doc, (at, lang, lines), dull in functions(text, language, path):
-                    if not dull:
-                        rows.append((i, name, doc, "\n".join(lines[at : body_end(lines, at, lang)])) if code else (i, name, None, None))
-            yield pd.DataFrame(rows, columns=["chunk_id", "func_name", "documentation", "code"])
+                rows += [(i, *x) for *x, dull in functions(text, language, path) if not dull]
+            yield pd.DataFrame(rows, columns=["chunk_id", "func_name", "line_no", "documentation", "code"])
 
     some = chunks.where(F.col("chunk_type").isin(*KINDS) & F.col("content_raw").isNotNull() & F.col("id").isNotNull())
     out = some.select("id", "language", "file_path", "content_raw").mapInPandas(run, schema)
-    if not code:
-        return out.select("chunk_id", "func_name").distinct()
-    size = F.length("documentation") + F.length("code")
-    best = F.max(F.struct(size.alias("n"), "documentation", "code")).alias("x")
-    return out.groupBy("chunk_id", "func_name").agg(best).select("chunk_id", "func_name", "x.documentation", "x.code")
+    return out.dropDuplicates(["chunk_id", "func_name", "line_no"])
+
+
+def skipped(chunks: DataFrame) -> DataFrame:
+    """language, chunks: how many chunks of the types in KINDS are in a language without signatures."""
+    known = F.lower(F.trim(F.coalesce("language", F.lit("")))).isin(*_SIGNATURES) | F.lower(F.regexp_extract(F.rtrim("file_path"), r"\.([^.]*)$", 1)).isin(*_ENDINGS)
+    some = chunks.where(F.col("chunk_type").isin(*KINDS) & F.col("content_raw").isNotNull() & F.col("id").isNotNull() & ~F.coalesce(known, F.lit(False)))
+    return some.groupBy(F.lower(F.trim("language")).alias("language")).agg(F.countDistinct("id").alias("chunks"))

@@ -37,7 +37,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docpairs.pairs(table(spark, sf_dir, "chunks"), code=False)
+    return docpairs.pairs(table(spark, sf_dir, "chunks")).select("chunk_id", "func_name").distinct()
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

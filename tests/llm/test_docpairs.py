@@ -4,7 +4,7 @@ from chunkloom.llm import docpairs as P
 
 
 def good(text, language):
-    return [name for name, _, _, dull in P.functions(text, language) if not dull]
+    return [name for name, _, _, _, dull in P.functions(text, language) if not dull]
 
 
 SENTENCE = "Counts the rows that are left open after the last run."
@@ -27,6 +27,14 @@ SENTENCE = "Counts the rows that are left open after the last run."
         ("lua", f"--- {SENTENCE}\nlocal function go(a)\nend\n", ["go"]),
         ("shell", f"# {SENTENCE}\nfunction go {{\n}}\n\n# {SENTENCE}\nstop() {{\n}}\n", ["go", "stop"]),
         ("ruby", f"# {SENTENCE}\n\ndef far(a)\nend\n", []),
+        ("csharp", f"/// <summary>\n/// {SENTENCE}\n/// </summary>\n[Obsolete]\npublic async Task<int> RunAsync(int a)\n{{\n}}\n", ["RunAsync"]),
+        ("csharp", f"/// {SENTENCE}\npublic int Twice(int a) => a * 2;\n", ["Twice"]),
+        ("kotlin", f"/** {SENTENCE} */\noverride fun load(a: Int): Int = a\n", ["load"]),
+        ("swift", f"/// {SENTENCE}\n@discardableResult\npublic func load(a: Int) -> Int {{\n}}\n", ["load"]),
+        ("php", f"/** {SENTENCE} */\npublic static function load($a) {{\n}}\n", ["load"]),
+        ("scala", f"/** {SENTENCE} */\ndef load(a: Int): Int = a\n", ["load"]),
+        ("dart", f"/// {SENTENCE}\nFuture<int> load(int a) async {{\n}}\n", ["load"]),
+        ("python", f"# {SENTENCE}\n@many(\n" + "    1,\n" * 50 + ")\ndef g(x):\n    pass\n", ["g"]),
         ("javascript", "if (a) {\n}\nfor (const x of y) {\n}\n", []),
     ],
 )
@@ -55,5 +63,16 @@ def test_bodies_and_table(spark):
     got = {(r.chunk_id, r.func_name): r.code for r in P.pairs(df).collect()}
     assert set(got) == {(1, "a"), (1, "b"), (2, "q")}
     assert got[(1, "a")].endswith("  end\nend") and got[(1, "b")] == "def b\nend"
-    assert {(r.chunk_id, r.func_name) for r in P.pairs(df, code=False).collect()} == set(got)
+    assert {(r.language, r.chunks) for r in P.skipped(df).collect()} == {("klingon", 1)}
     assert P.pairs(df.limit(0)).count() == 0
+
+
+def test_functions_of_one_name_stay_apart(spark):
+    text = f"# {SENTENCE}\ndef run(a)\n  1\nend\n\n# Other words that say what this one does.\ndef run(b)\n  b\nend\n"
+    df = spark.createDataFrame([(1, "ruby", "a.rb", "section", text)], "id long, language string, file_path string, chunk_type string, content_raw string")
+    assert sorted((r.line_no, r.code) for r in P.pairs(df).collect()) == [(2, "def run(a)\n  1\nend"), (7, "def run(b)\n  b\nend")]
+
+
+def test_bodies_without_braces():
+    text = f"/** {SENTENCE} */\nfun a(x: Int): Int = x + 1\n\n/** {SENTENCE} */\nfun b(x: Int): Int {{\n  return x\n}}\n"
+    assert [code for _, _, _, code, _ in P.functions(text, "kotlin")] == ["fun a(x: Int): Int = x + 1", "fun b(x: Int): Int {\n  return x\n}"]
