@@ -37,13 +37,15 @@ BODY = 60
 #: Score from which a configuration file without a notice is taken.
 SURE = 0.5
 
-#: Notices that tools and importers leave at the top of a file.
-_GENERATED = r"do not (?:edit|modify|change|touch)|don'?t (?:edit|modify|change|touch)|auto[- ]?generated|automatically generated|machine[- ]generated|@generated\b|code generated by|generated (?:by|from) \S+.{0,60}(?:do not|don'?t|; run|instead)|produced by \S+ from|is built by \S+|edits get overwritten|changes will be lost|regenerate instead|automatisch erzeugt|nicht von hand|généré automatiquement|ne pas modifier|generado automáticamente|no (?:editar|modificar)|自動生成|自动生成"
-_VENDORED = r"vendored from|copied verbatim|original source release|imported without changes|bundled copy of|is maintained elsewhere|released under the terms of|\(c\) the \w+ authors|upstream of \w+; keep in sync"
+#: Forms of the notices that tools and importers leave at the top of a file.
+_GENERATED = r"(?:do not|don'?t|never) (?:hand[- ]?)?(?:edit|modify|change|touch)\b|auto[- ]?generated|automatically generated|machine[- ]generated|@generated\b|code generated by|(?:generated|produced|emitted|built) (?:by|from) \S+.{0,60}(?:do not|don'?t|; run|\bregenerate\b|\binstead\b)|\b(?:edits?|changes?|modifications?)\b.{0,40}\b(?:lost|overwritten|discarded)\b|automatisch erzeugt|nicht von hand|généré automatiquement|ne pas modifier|generado automáticamente|no (?:editar|modificar)|自動生成|自动生成"
+_VENDORED = r"\bvendored\b.{0,20}\bfrom\b|\bcopied\b.{0,20}\b(?:verbatim|unchanged|unmodified)\b|\b(?:verbatim|unmodified|bundled|vendored) copy of\b|\bimported\b.{0,20}\b(?:without changes|unchanged|unmodified|verbatim)\b|\bmaintained (?:elsewhere|upstream)\b|\bupstream\b.{0,40}\b(?:in sync|patches)\b|\bv?\d+\.\d+(?:\.\d+)?\b.{0,40}(?:\(c\)|\bcopyright\b).{0,60}\b(?:authors|contributors|foundation|licen[cs]e)\b"
 _NOTICE = re.compile(f"{_GENERATED}|{_VENDORED}", re.I)
 _BANNER = re.compile(r"^\s*/\*!|//[#@] sourceMappingURL=|^\(\(\)=>\{|^!function\(")
 _DATA = re.compile(r"^\s*[A-Za-z_][\w \t.\[\]*:<>]{0,80}=\s*(?:\[\]\w+)?[\[{(]\s*$")
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|!\[|\[|!/)|/\*|\*|--|;|<!--|\"\"\"|''')")
+#: Marks of comments that run over several lines.
+_LONG = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"), ("--[[", "]]"))
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 _VALUE = re.compile(r"\"[^\"]*\"|-?[\d.]+")
 _LITERAL_LINE = re.compile(r"^\s*[\[{(\"']?[\s\d.,xXa-fA-F\"'+/=:{}\[\]()-]*[,;\])}]?\s*$|^\s*[\"'][A-Za-z0-9+/=]{40,}[\"']\s*[,+)]?\s*;?\s*$")
@@ -67,11 +69,8 @@ def notice(text: str, first: bool) -> bool:
         return True
     if not first:
         return False
-    for line in lines[:12]:
-        if line.strip() and not _COMMENT.match(line):
-            break
-        if _NOTICE.search(line):
-            return True
+    if any(map(_NOTICE.search, lines[: header(lines)])):
+        return True
     if lines[0].rstrip()[-1:] not in ("[", "{", "("):
         return _records(lines)
     body = [x for x in lines[1:] if x.strip()]
@@ -84,14 +83,26 @@ def _records(lines: list[str]) -> bool:
     return len(rows) >= 12 and len(rows) > 0.8 * len(lines) and len({_VALUE.sub("v", r).strip(" ,") for r in rows[1:-1]}) <= 3
 
 
+def header(lines: list[str]) -> int:
+    """How many lines at the top are comments, blank, or inside a comment that runs over several lines."""
+    closing = None
+    for k, line in enumerate(lines):
+        said = line.strip()
+        if closing:
+            closing = None if closing in said else closing
+            continue
+        if said and not _COMMENT.match(line):
+            return k
+        for opening, end in _LONG:
+            if said.startswith(opening) and end not in said[len(opening) :]:
+                closing = end
+    return len(lines)
+
+
 def without_header(text: str) -> str:
     """The text without leading comments, banners and source map lines."""
     lines = text.split("\n")
-    k = 0
-    while k < len(lines) and (not lines[k].strip() or _COMMENT.match(lines[k])) and k < 12:
-        k += 1
-    rest = [x for x in lines[k:] if "sourceMappingURL" not in x]
-    return "\n".join(rest)
+    return "\n".join(x for x in lines[header(lines) :] if "sourceMappingURL" not in x)
 
 
 def statistics(text: str) -> tuple[float, ...]:

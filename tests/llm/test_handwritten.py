@@ -49,3 +49,11 @@ def test_one_class_only(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(k, f"a{k}.py", body(rng), "code", 0, "x", "y") for k in range(5)], COLUMNS)
     assert H.found(df).count() == 0
+
+
+def test_notice_in_a_long_header():
+    licence = "\n".join(f"// line {k} of the licence" for k in range(20))
+    assert H.notice(licence + "\n// Generated by foo 2.0 from a.x; do not edit.\nint a;", True)
+    block = "/*\n" + "\n".join(f"  words {k}" for k in range(20)) + "\n  all changes will be lost\n*/\nint a;"
+    assert H.notice(block, True) and H.without_header(block) == "int a;"
+    assert not H.notice(licence + "\nint a; // do not edit", True)
