@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,22 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the session's `spark.checkpoint.dir`.  Only where that is unset, as
-    in local tests, a folder of this machine is taken.
+    It is the session's `spark.checkpoint.dir`.  Only where that is unset and the
+    master is this machine, as in local tests, a folder of this machine is taken;
+    on a cluster its executors could not read each other's files, so there it is
+    an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = held or "file://" + tempfile.mkdtemp(prefix="chunkloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_roots: dict[str, object] = {}
+
+
+def clear_scratch() -> None:
+    """Removes all intermediate tables of this process; results that still read them must have been written."""
+    for root, context in list(_roots.items()):
+        try:
+            place = context._jvm.org.apache.hadoop.fs.Path(root)
+            place.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration(context._jsc.hadoopConfiguration()) if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the session may be gone, and its folder with it
+            pass
+        _roots.pop(root, None)
+
+
+atexit.register(clear_scratch)
+
+
 class Scratch:
     """Intermediate tables written to the shared folder to cut lineage.
 
     A written table is read back by any executor, so the loss of one does not
-    lose it.  `keep` is how many of the latest tables stay readable: an
+    lose it.  The tables go when the process ends, or by `clear_scratch`, since
+    lazy results may read them until then.  `keep` is how many of the latest tables stay readable: an
     iteration needs its last state only.
     """
 
@@ -40,6 +63,7 @@ class Scratch:
         self.spark, self.keep = spark, keep
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        _roots[self.root] = spark.sparkContext
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"

@@ -57,9 +57,8 @@ def snake_case(name: Column) -> Column:
 
 
 def name_words(name: Column) -> Column:
-    """A symbol's name in words: parts by case, underscore and other marks, lower case, blanks between."""
-    split = F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.trim(F.regexp_replace(F.lower(split), r"[^a-z0-9]+", " "))
+    """A symbol's name as a query: parts by underscore and other marks, lower case, blanks between; the index does not split by case either."""
+    return F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.functions import scalar
 
 
+#: Characters of a session's summary.
+SUMMARY = 4000
+
+
 def latest(rows: DataFrame, key: str = "id") -> DataFrame:
     """One row per key: that with the greatest updated_at (null is lowest), a deleted one on a tie."""
-    order = F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp")), F.coalesce("is_deleted", F.lit(False)))
-    others = [c for c in rows.columns if c != key]
-    best = F.max_by(F.struct(*others), order).alias("x")
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "x.*")
+    # a window, not an aggregate of whole rows: columns that nobody asks for are pruned down to the scan
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last("updated_at"), F.desc(F.coalesce("is_deleted", F.lit(False))))
+    return rows.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -75,9 +78,14 @@ def diff(before: DataFrame, after: DataFrame, key: str = "path", content: str =
 
 
 def session_summary(rows: DataFrame, session: str) -> DataFrame:
-    """For each session of several rows: its common path prefix and a summary of `name: first 200 bytes` lines, 4000 characters at most."""
-    line = F.concat(F.coalesce("name", F.lit("item")), F.lit(": "), F.substring("content_raw", 1, 200))
-    g = rows.groupBy(session).agg(F.count("*").alias("n"), F.min("file_path").alias("lo"), F.max("file_path").alias("hi"), F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("lines"))
+    """For each session of several rows: its common path prefix and a summary of `name: first 200 characters` lines, 4000 characters at most.
+
+    Only the rows that the summary shows, the first by id, give their lines: no
+    more than 4000 / 3 of them can, however many a session has.
+    """
+    nth = F.row_number().over(Window.partitionBy(session).orderBy("id"))
+    line = F.when(F.col("_nth") <= SUMMARY // 3 + 1, F.concat(F.coalesce("name", F.lit("item")), F.lit(": "), F.substring("content_raw", 1, 200)))
+    g = rows.withColumn("_nth", nth).groupBy(session).agg(F.count("*").alias("n"), F.min("file_path").alias("lo"), F.max("file_path").alias("hi"), F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("id", line.alias("line"))))).alias("lines"), F.collect_set("id").alias("members"))
     same = F.filter(F.sequence(F.lit(0), F.least(F.length("lo"), F.length("hi"))), lambda k: F.substring(F.col("lo"), F.lit(1), k) == F.substring(F.col("hi"), F.lit(1), k))
-    text = F.substring(F.array_join(F.col("lines.line"), "\n"), 1, 4000)
-    return g.where("n > 1").select(session, F.substring(F.col("lo"), F.lit(1), F.array_max(same)).alias("prefix"), text.alias("summary"), F.col("lines.id").alias("members"))
+    text = F.substring(F.array_join(F.col("lines.line"), "\n"), 1, SUMMARY)
+    return g.where("n > 1").select(session, F.substring(F.col("lo"), F.lit(1), F.array_max(same)).alias("prefix"), text.alias("summary"), F.array_sort("members").alias("members"))

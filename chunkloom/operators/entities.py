@@ -205,3 +205,44 @@ def episodes(events: DataFrame) -> DataFrame:
     """Events as provenance episodes: kinds of change per user and day."""
     kind = F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "deleted").otherwise("modified")
     return events.select("event_id", F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("file_path"), kind.alias("change_type"), "ts", F.get_json_object("props", "$.k").cast("long").alias("chunks_affected"))
+
+
+def add_attributes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Attributes of `old` and those of `new` whose (entity_id, kind, content) is not there; of equal new ones the smallest id."""
+    key = ["entity_id", "kind", "content"]
+    others = [c for c in new.columns if c not in key]
+    one = new.dropna(subset=key).groupBy(*key).agg(F.min_by(F.struct(*others), "id").alias("x")).select(*key, "x.*")
+    return old.unionByName(one.join(old.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def add_hints(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Hints (chunk_id, hint_text, hint_type) of both; a text that a chunk has already is not added again, a plain one has the type `plain`."""
+    typed = new.withColumn("hint_type", F.coalesce("hint_type", F.lit("plain"))).dropna(subset=["chunk_id", "hint_text"])
+    one = typed.groupBy("chunk_id", "hint_text").agg(F.min("hint_type").alias("hint_type"))
+    return old.unionByName(one.join(old.select("chunk_id", "hint_text").distinct(), ["chunk_id", "hint_text"], "left_anti"))
+
+
+def listed(entities: DataFrame, most: int = 50) -> DataFrame:
+    """The most mentioned entities of each type, with their place; ties by id."""
+    w = Window.partitionBy("entity_type").orderBy(F.desc("mentions"), "id")
+    return entities.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def cards(entities: DataFrame, attributes: DataFrame, deps: DataFrame) -> DataFrame:
+    """id, canonical_name, attributes (kind=count, joined), outgoing, incoming: what is known of each entity now."""
+    kinds = attributes.groupBy(F.col("entity_id").alias("id"), "kind").agg(F.count("*").alias("n"))
+    said = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "n"))), ",")
+    now = current(deps).select("source_entity", "target_entity", dep_type(F.col("dep_type")).alias("k")).distinct()
+    out = now.groupBy(F.col("source_entity").alias("id")).agg(F.count("*").alias("outgoing"))
+    into = now.groupBy(F.col("target_entity").alias("id")).agg(F.count("*").alias("incoming"))
+    each = entities.select("id", "canonical_name").join(kinds.groupBy("id").agg(said.alias("attributes")), "id", "left").join(out, "id", "left").join(into, "id", "left")
+    return each.select("id", "canonical_name", F.coalesce("attributes", F.lit("")).alias("attributes"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("outgoing", "incoming")])
+
+
+def seed_communities(communities: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
+    """query_id, path: communities (path, depth) that are a seed's file (query_id, file_path) or a folder above it, the highest first."""
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    each = seeds.select("query_id", F.explode(above).alias("path")).distinct().join(communities.select("path", "depth").distinct(), "path")
+    w = Window.partitionBy("query_id").orderBy("depth", "path")
+    return each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query_id", "path", "place")

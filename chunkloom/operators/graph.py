@@ -95,6 +95,21 @@ def graph_boost(entities: DataFrame, deps: DataFrame, attributes: DataFrame, que
     return top(by_query.join(chunks, "node").groupBy("query_id", F.col("chunk_id").alias("id")).agg(score), k, F.desc("score"), F.col("id")).drop("place")
 
 
+def boost_ids(entities: DataFrame, deps: DataFrame, attributes: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
+    """query_id, id: chunks of the attributes of a query's entities and of their neighbours, the smallest ids.
+
+    A query's entities are those whose canonical name contains one of its
+    tokens: of the 100 most mentioned the 20 of smallest id.  Neighbours are
+    those of any edge, closed ones too, in either direction.
+    """
+    seeds = seed_entities(entities, queries, per_token=100, most=100)
+    named = seeds.join(entities.select(F.col("id").alias("node"), "mentions"), "node")
+    some = top(top(named, 100, F.desc("mentions"), F.col("node")).drop("place"), 20, F.col("node")).select("query_id", "node")
+    beside = some.join(undirected(entity_edges(deps, open_only=False)), F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"))
+    linked = attributes.where(F.col("chunk_id").isNotNull()).select(F.col("entity_id").alias("node"), F.col("chunk_id").alias("id"))
+    return top(some.union(beside).distinct().join(linked, "node").select("query_id", "id").distinct(), most, F.col("id")).select("query_id", "id")
+
+
 def importance(chunks: DataFrame, edges: DataFrame, constrained: DataFrame) -> DataFrame:
     """id, importance from a chunk's base importance, its incoming imports and calls, what it contains and constraints on it.
 

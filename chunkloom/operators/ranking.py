@@ -15,6 +15,8 @@ from chunkloom.operators.fulltext import top
 #: Factor for each further result of one source; queries compared at once.
 REPEAT = 0.85
 QUERY_BLOCK = 512
+#: Bytes of queries that are broadcast for one reading of the vectors.
+QUERY_BYTES = 256 << 20
 
 
 def dampen(rows: DataFrame, by: str = "query_id", score: str = "score", key: Column | None = None, ident: str = "id") -> DataFrame:
@@ -53,16 +55,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     def clean(df: DataFrame) -> DataFrame:
         return df.where(F.col(id_col).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))).groupBy(F.col(id_col).alias("id")).agg(F.min(vector).alias("v"))
 
-    asked = clean(queries).collect()
-    if not asked:
-        return spark.createDataFrame([], "query_id long, id long, distance double")
-    by_size: dict[int, list] = {}
-    for r in asked:
-        by_size.setdefault(len(r["v"]), []).append(r)
-    blocks = [(np.array([r["id"] for r in rows[s : s + QUERY_BLOCK]], np.int64), np.array([r["v"] for r in rows[s : s + QUERY_BLOCK]], np.float64)) for rows in by_size.values() for s in range(0, len(rows), QUERY_BLOCK)]
-    shared = spark.sparkContext.broadcast(blocks)
+    def blocks(asked: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        by_size: dict[int, list] = {}
+        for r in asked:
+            by_size.setdefault(len(r["v"]), []).append(r)
+        return [(np.array([r["id"] for r in rows[s : s + QUERY_BLOCK]], np.int64), np.array([r["v"] for r in rows[s : s + QUERY_BLOCK]], np.float64)) for rows in by_size.values() for s in range(0, len(rows), QUERY_BLOCK)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sizes = pdf.v.map(len).to_numpy()
             for ids, q in shared.value:
@@ -77,12 +76,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
                 else:
                     d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0))
                 d = np.where(np.isfinite(d) & (ids[:, None] != own[None, :]), d, np.inf)
-                keep = np.lexsort((np.broadcast_to(own, d.shape), d.round(9)), axis=1)[:, : min(k, len(own))]
-                best = np.take_along_axis(d, keep, 1)
-                row, col = np.nonzero(np.isfinite(best))
-                yield pd.DataFrame({"query_id": ids[row], "id": own[keep[row, col]], "distance": best[row, col]})
-
-    found = clean(vectors).mapInPandas(run, "query_id long, id long, distance double")
+                near = d.round(9)
+                few = min(k, len(own))
+                row, col = np.nonzero((near <= np.partition(near, few - 1, axis=1)[:, [few - 1]]) & np.isfinite(d))
+                order = np.lexsort((own[col], near[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, row)
+                keep = np.arange(len(row)) - first < few
+                row, col = row[keep], col[keep]
+                yield pd.DataFrame({"query_id": ids[row], "id": own[col], "distance": d[row, col]})
+
+    schema = "query_id long, id long, distance double"
+    found = spark.createDataFrame([], schema)
+    asked, rows = clean(queries), clean(vectors)
+    size = asked.agg(F.sum(F.size("v") + 2)).first()[0] or 0
+    rounds = -(-size * 8 // QUERY_BYTES)  # the queries of one round fit the driver and a broadcast
+    for n in range(rounds):
+        shared = spark.sparkContext.broadcast(blocks(asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == n).collect()))
+        found = found.unionByName(rows.mapInPandas(lambda batches, shared=shared: run(batches, shared), schema))
     return top(found, k, F.round("distance", 9), F.col("id")).drop("place")
 
 
@@ -100,8 +111,19 @@ def add_vector_layer(results: DataFrame, near: DataFrame, existing: float = 0.3,
     return both.select("query_id", "id", F.coalesce(gained, relevance * F.col("weight") * fresh).alias("score"))
 
 
-def quality(ranked: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """queries, hit_k for each k, and mrr of ranked (query_id, id, place) against truth (query_id, id)."""
-    first = truth.join(ranked, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("place").alias("first"))
+def gravity(rows: DataFrame, spread: float, by: str = "query_id", score: str = "score") -> DataFrame:
+    """Rows with each score pulled to its query's mean; spread 1 leaves it, 0 makes all equal."""
+    mean = F.avg(score).over(Window.partitionBy(by))
+    return rows.withColumn(score, mean + (F.col(score) - mean) * spread)
+
+
+def layers_hit(rows: DataFrame, layers: str = "layers") -> DataFrame:
+    """layer, n: in how many results each layer took part (an array column)."""
+    return rows.select(F.explode(layers).alias("layer")).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+def quality(ranked: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
+    """queries, hit_k for each k, and mrr of ranked (query_id, id, place) against truth (query_id, id), for each group of truth's columns `by`."""
+    first = truth.join(ranked, ["query_id", "id"], "left").groupBy("query_id", *by).agg(F.min("place").alias("first"))
     hits = [F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))).alias(f"hit_{k}") for k in at]
-    return first.agg(F.count("*").alias("queries"), *hits, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+    return first.groupBy(*by).agg(F.count("*").alias("queries"), *hits, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))

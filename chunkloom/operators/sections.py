@@ -13,10 +13,10 @@ PREFIXES = (
 SECTION_LINES = 50
 #: Words before a bracket that are no calls.
 KEYWORDS = (
-    "if else for while do switch case return break continue match loop let const var fn func function def class struct enum impl trait interface type import export from use mod pub "
-    "async await yield throw try catch finally raise except assert new delete typeof instanceof sizeof in of is not and or with as elif lambda del pass global nonlocal self super this "
-    "end then unless until begin rescue ensure print println printf eprintln assert_eq panic vec format write some none ok err defer go select chan range map make len cap append copy "
-    "static final void int long float double bool boolean char string true false null nil undefined"
+    "if else for while match return await async let const var fn function new delete throw try catch finally import export from class extends super this self Self "
+    "print println println! format! vec! dbg! eprintln! assert assert_eq assert_ne assert! panic! unimplemented! todo! unreachable! vec Vec String HashMap Option Result Some None Ok Err Box Rc Arc "
+    "true false mut pub use mod struct enum impl trait type where in as ref static dyn box move loop break continue yield def pass with "
+    "isinstance len range str int float bool list dict set tuple make append Error Promise console log typeof instanceof"
 ).split()
 
 

@@ -46,7 +46,7 @@ def health_report(spark, sf_dir):
 
 
 def ls_filtered(spark, sf_dir):
-    out = catalogue.ls(_live(spark, sf_dir), chunk_type="function", source_types=["code"], exclude=["beyal-0/"])
+    out = catalogue.ls(_live(spark, sf_dir), chunk_type="function", source_types=["code"], exclude=["docs/", "vendor/"])
     return out.select("id", "file_path", "name", "line_start")
 
 
@@ -102,7 +102,10 @@ def prefix_join(spark, sf_dir):
 def tombstone_files(spark, sf_dir):
     """Code chunks that deleting every file of the first project would bury."""
     rows = _live(spark, sf_dir)
-    dead = chunks.tombstone(rows, rows.where(F.col("file_path").startswith("beyal-0/")).select(F.col("file_path").alias("path")), _at())
+    project = F.split("file_path", "/")[0]
+    first = rows.agg(F.min(project).alias("first"))  # one row
+    files = rows.select("file_path", project.alias("first")).join(F.broadcast(first), "first").select(F.col("file_path").alias("path"))
+    dead = chunks.tombstone(rows, files, _at())
     return dead.select("id", "is_deleted", F.unix_micros("deleted_at").alias("deleted_at"))
 
 
@@ -256,7 +259,7 @@ SQL: dict[str, str] = {
 union all select 'attributes_without_chunk', count(*) from attr where chunk_id <> -1 and chunk_id not in (select id from live) union all select 'dependencies_without_source', count(*) from d where source_entity not in (select id from ents)
 union all select 'dependencies_without_target', count(*) from d where target_entity not in (select id from ents) union all select 'vectors_without_chunk', count(*) from v where chunk_id not in (select id from live)
 union all select 'chunks_without_vector', count(*) from live where id not in (select chunk_id from v) union all select 'doubled_entity_names', count(*) from (select canonical_name from ents group by 1 having count(*) > 1)""",
-    "ls_filtered": S.with_(S.LATEST) + "select id, file_path, name, line_start from live where chunk_type = 'function' and source_type = 'code' and not starts_with(file_path, 'beyal-0/')",
+    "ls_filtered": S.with_(S.LATEST) + "select id, file_path, name, line_start from live where chunk_type = 'function' and source_type = 'code' and not starts_with(file_path, 'docs/') and not starts_with(file_path, 'vendor/')",
     "ls_tree": S.with_(S.LATEST, "p as (select distinct array_to_string(parts[1:i], '/') as path from (select string_split(file_path, '/') as parts from live), unnest(range(1, len(parts) + 1)) as t(i))") + "select path, (len(string_split(path, '/')) - 1)::int as depth, repeat(' ', 2 * (len(string_split(path, '/')) - 1)) || string_split(path, '/')[-1] as line from p",
     "get_at_line": S.with_(S.LATEST) + "select file_path as path, 2 as line, arg_max(id, (importance, -id)) as id from live where line_start <= 1 and line_end >= 1 group by 1",
     "cat_rendered": S.with_(S.LATEST) + "select id, sha256('### ' || name || chr(10) || '**File:** `' || file_path || '` **Lines:** ' || (line_start + 1) || '-' || (line_end + 1) || ' **Type:** ' || chunk_type || chr(10) || chr(10) || '```' || coalesce(language, '') || chr(10) || coalesce(content_raw, '') || chr(10) || '```' || chr(10)) as digest from live where name is not null",
@@ -266,7 +269,7 @@ union all select 'chunks_without_vector', count(*) from live where id not in (se
     "orphans_cleaned": S.with_(S.LATEST, _ATTR) + "select kind, count(*) as n from attr where chunk_id is null or chunk_id in (select id from live) group by 1",
     "semi_exists": S.with_(S.ENTITIES) + "select id, canonical_name from ents where exists (select 1 from entity_attributes a where a.entity_id = ents.id and kind = 'constraint')",
     "prefix_join": S.with_(S.LATEST, "f as (select distinct array_to_string(string_split(path, '/')[1:2], '/') as path from files)") + "select f.path, count(*) as n from live l join f on array_to_string(string_split(l.file_path, '/')[1:2], '/') = f.path group by 1",
-    "tombstone_files": S.with_(S.LATEST) + f"select id, true as is_deleted, epoch_us({_AT_SQL}) as deleted_at from live where source_type = 'code' and starts_with(file_path, 'beyal-0/')",
+    "tombstone_files": S.with_(S.LATEST) + f"select id, true as is_deleted, epoch_us({_AT_SQL}) as deleted_at from live where source_type = 'code' and string_split(file_path, '/')[1] = (select min(string_split(file_path, '/')[1]) from live)",
     "purge_tombstones": S.with_(S.LATEST) + "select is_deleted, count(*) as n from latest where not coalesce(is_deleted and coalesce(deleted_at, updated_at) < timestamptz '2026-01-01 00:00:00+00' - interval 60 day, false) group by 1",
     "forget_knowledge": S.with_(S.LATEST) + "select source_type, (id % 3 = 0 and source_type <> 'code') as is_deleted, count(*) as n from live group by 1, 2",
     "modify_knowledge": S.with_(S.LATEST) + "select source_type, round(sum(case when id % 3 = 0 and source_type <> 'code' then 0.99 else importance end), 4) as importance from live group by 1",

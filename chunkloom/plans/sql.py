@@ -5,7 +5,7 @@ LATEST = """latest as (select * exclude (rn) from (select *, row_number() over (
 live as (select * from latest where not is_deleted)"""
 
 #: Queries: the names of every twentieth live chunk, in words.
-QUERIES = r"""queries as (select id as query_id, trim(regexp_replace(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) as text from live where id % 20 = 0 and name is not null)"""
+QUERIES = r"""queries as (select id as query_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as text from live where id % 20 = 0 and name is not null)"""
 
 
 def tokens(column: str) -> str:
