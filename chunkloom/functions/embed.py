@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 class Provider(Protocol):
@@ -67,13 +68,13 @@ def stored(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(best).select("chunk_id", "x.*")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def packed(vector: pd.Series) -> pd.Series:
     """A vector as little-endian 32-bit floats; null stays null."""
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def unpacked(raw: pd.Series) -> pd.Series:
     """The vector of little-endian 32-bit floats; null where the bytes are no whole number of them."""
     return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())

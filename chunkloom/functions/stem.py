@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _C, _V = "[^aeiou](?:[^aeiouy]*)", "[aeiouy](?:[aeiou]*)"
 _MEASURE = re.compile(f"^(?:{_C})?((?:{_V}{_C})*)(?:{_V})?$")
@@ -72,7 +73,7 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(word: pd.Series) -> pd.Series:
     """Stems of words; null stays null."""
     return word.map(lambda w: stem(plain(w)) if w else w)

@@ -96,3 +96,26 @@ def tree(paths: DataFrame) -> DataFrame:
 def lines(chunks: DataFrame) -> DataFrame:
     """id, n, line of each line of content."""
     return chunks.select("id", F.posexplode(F.split("content_raw", "\n")).alias("n", "line"))
+
+
+def rendered(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunks, text: the ranked chunks (query_id, id, place) as Markdown, in their order; ids without a chunk are left out.
+
+    One query's text is put together in one task; the caller bounds its chunks.
+    """
+    said = ranked.join(chunks.withColumn("_said", render(chunks)).select("id", "_said"), "id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_said"))), lambda x: x["_said"]), "\n")
+    return said.groupBy("query_id").agg(F.count("*").alias("chunks"), text.alias("text"))
+
+
+def drawn(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
+    """n rows drawn at random by a digest of their key, so the same seed draws the same rows; all where there are no more."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(n)
+
+
+def eval_queries(chunks: DataFrame) -> DataFrame:
+    """Queries made of the names of code chunks of more than three characters, with what they should find; `write.json` stores them."""
+    from chunkloom.functions import scalar
+
+    some = chunks.where(F.col("chunk_type").isin("function", "method", "class", "interface") & (F.col("source_type") == "code") & (F.length("name") > 3))
+    return some.select(scalar.name_words(F.col("name")).alias("eval_query"), F.col("id").alias("chunk_id"), "file_path", "name", "chunk_type", F.substring("content_raw", 1, 120).alias("content_preview"), F.coalesce("language", F.lit("unknown")).alias("language"))

@@ -22,6 +22,8 @@ from chunkloom.common import Scratch
 
 #: Siblings of one parent that one window task orders; more are split by hash.
 SIBLINGS_PER_TASK = 10_000
+#: Preorder numbers of a tree that meet the ranges of ancestors under one join key.
+RANGE = 4096
 
 
 def open_edges(deps: DataFrame, dep_type: str = "contains") -> DataFrame:
@@ -42,7 +44,7 @@ def parents_of(edges: DataFrame) -> DataFrame:
     """(node, parent) for each id on either side; parent null for a root.
 
     Repeated edges count once.  If a node has several parents, the smallest is
-    its parent.
+    its parent; `other_parents` has the links that are not followed.
     """
     return (
         edges.select(F.col("child").alias("node"), "parent")
@@ -52,6 +54,13 @@ def parents_of(edges: DataFrame) -> DataFrame:
     )
 
 
+def other_parents(edges: DataFrame) -> DataFrame:
+    """node, parent, kept, parents of each link that a tree cannot hold, because its node hangs under another parent (`kept`)."""
+    links = edges.select(F.col("child").alias("node"), "parent").distinct()
+    many = links.groupBy("node").agg(F.min("parent").alias("kept"), F.count("*").alias("parents")).where("parents > 1")
+    return links.join(many, "node").where("parent <> kept").select("node", "parent", "kept", "parents")
+
+
 def climb(edges: DataFrame, with_path: bool = False) -> tuple[DataFrame, list[DataFrame]]:
     """Depth and root of each node, and the pointer table of each round.
 
@@ -133,11 +142,17 @@ def _sibling_offsets(sized: DataFrame) -> DataFrame:
 
 
 def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """(ancestor, node) for the ids in column `ancestor` of `of`, by range within the root."""
-    a = tree.join(of.select(F.col("ancestor").alias("node")).distinct(), "node", "left_semi")
-    a = a.where(F.col("depth") >= 0).select(F.col("node").alias("ancestor"), F.col("root").alias("r"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
-    inside = (F.col("root") == F.col("r")) & (F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))
-    return tree.join(a, inside).select("ancestor", "node")
+    """(ancestor, node) for the ids in column `ancestor` of `of`, by range within the root.
+
+    Ranges and nodes meet in blocks of RANGE preorder numbers, so one large tree
+    is as many join keys as it has blocks.  Leaves have no descendants, and ids
+    on or below a cycle have none.
+    """
+    a = tree.join(of.select(F.col("ancestor").alias("node")).distinct(), "node", "left_semi").where((F.col("depth") >= 0) & (F.col("size") > 1))
+    first, last = F.floor((F.col("pre") + 1) / RANGE), F.floor(F.col("last") / RANGE)
+    a = a.select(F.col("node").alias("ancestor"), F.col("root").alias("r"), F.col("pre").alias("lo"), F.col("last").alias("hi"), F.explode(F.sequence(first, last)).alias("b"))
+    inside = (F.col("root") == F.col("r")) & (F.floor(F.col("pre") / RANGE) == F.col("b")) & (F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))
+    return tree.where(F.col("pre").isNotNull()).join(a, inside).select("ancestor", "node")
 
 
 def found(deps: DataFrame) -> DataFrame:

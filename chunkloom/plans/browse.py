@@ -276,6 +276,8 @@ union all select 'chunks_without_vector', count(*) from live where id not in (se
     "content_hash_dedup": "select sha256(text) as hash, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by 1",
     "ingest_dedup": S.with_(S.LATEST, "n as (select distinct sha256(text) as h from documents where source_type = 'memory' and text is not null)") + "select h not in (select content_hash from live where source_type = 'memory') as added, count(*) as n from n group by 1",
     "incremental_diff": f"with f as (select distinct * from files), a as (select path, arg_max(hash, (indexed_at, hash)) as h from f where indexed_at <= {_AT_SQL} group by 1), b as (select path, arg_max(hash, (indexed_at, hash)) as h from f group by 1) select case when a.h is null then 'added' when b.h is null then 'removed' when a.h = b.h then 'unchanged' else 'updated' end as status, count(*) as n from a full join b using (path) group by 1",
+    "language_detect": "with f as (select distinct trim(path) as path from files), n as (select lower(string_split(path, '/')[-1]) as name from f), l as (select case when starts_with(name, '.env') then 'dotenv' else coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in scalar.FILE_NAMES.items()) + "}[name], map {" + ", ".join(f"'{k}': '{v}'" for k, v in scalar.LANGUAGES.items()) + r"}[regexp_extract(name, '\.([^.]+)$', 1)]) end as language from n) select language, count(*) as n from l group by 1",
+    "session_summary": S.with_(S.LATEST, "m as (select *, strftime(created_at, '%Y-%m-%d') as day from live where source_type = 'memory')", "g as (select day, count(*) as members, min(file_path) as lo, max(file_path) as hi, string_agg(coalesce(name, 'item') || ': ' || substr(content_raw, 1, 200), chr(10) order by id) as said from m group by 1 having count(*) > 1)") + "select day, lo[:list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda k: lo[:k] = hi[:k]))] as prefix, least(length(said), 4000)::int as length, members::int as members from g",
     "calls_regex": S.with_(S.LATEST) + f"select id, array_to_string(list_sort({_CALLS}), ',') as calls from live where chunk_type in ('function', 'method')",
     "call_edges": S.with_(S.LATEST, f"c as (select id as src, string_split(file_path, '/')[1] as project, unnest({_CALLS}) as name from live where chunk_type in ('function', 'method', 'section'))") + "select distinct c.src, d.id as dst from c join live d on string_split(d.file_path, '/')[1] = c.project and d.name = c.name and d.chunk_type in ('function', 'method', 'class', 'struct') where c.src <> d.id",
     "line_chunks": S.with_(S.LATEST, "l as (select id, unnest(range(0, len(a))) as n, unnest(a) as line from (select id, string_split(replace(content_raw, chr(13) || chr(10), chr(10)), chr(10)) as a from live where chunk_type = 'section'))", "o as (select *, (n > 0 and (" + " or ".join(f"starts_with(ltrim(line, ' '), '{p}')" for p in sections.PREFIXES) + "))::int as open from l)", "p as (select *, sum(open) over (partition by id order by n) as part from o)", "q as (select *, (row_number() over (partition by id, part order by n) - 1) // 50 as piece from p)", "g as (select id, part, piece, min(n) as line_start, max(n) + 1 as line_end, string_agg(line, chr(10) order by n) as content from q group by 1, 2, 3)")

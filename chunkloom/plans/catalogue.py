@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chunkloom.plans import browse, graph, search
+from chunkloom.plans import browse, graph, relations, search
 
 FLAGSHIP = "layered_search"
 
-QUERIES = search.QUERIES | graph.QUERIES | browse.QUERIES
+QUERIES = search.QUERIES | graph.QUERIES | browse.QUERIES | relations.QUERIES
 
-SQL = search.SQL | graph.SQL | browse.SQL
+SQL = search.SQL | graph.SQL | browse.SQL | relations.SQL
