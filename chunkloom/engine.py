@@ -18,8 +18,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.functions import scalar
-from chunkloom.operators import catalogue, entities, fulltext, graph, ranking
+from chunkloom.functions import embed, scalar
+from chunkloom.operators import catalogue, entities, fulltext, graph, ranking, relations, sections
 from chunkloom.operators import chunks as C
 from chunkloom.sources import chunkers, files
 from chunkloom.sources.store import Store
@@ -61,8 +61,8 @@ class Plugins:
 class Engine:
     """An index in a versioned store."""
 
-    def __init__(self, spark: SparkSession, root: str, plugins: Plugins | None = None):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, plugins: Plugins | None = None, provider: embed.Provider | None = None):
+        self.spark, self.store, self.provider = spark, Store(spark, root), provider
         self.plugins, self.cache = plugins or Plugins(), QueryCache()
 
     # writing
@@ -83,10 +83,40 @@ class Engine:
             cut = kept.unionByName(dead).unionByName(cut, allowMissingColumns=True)
         self.store.replace("chunks", cut)
         self.store.replace("files", found.select("path", "language", "size", "mtime", "hash"))
-        self.store.replace("entities", entities.upsert(entities.symbols(self.chunks())))
+        self._derive()
         self.cache.clear()
         return {r["status"]: r["count"] for r in status}
 
+    def _derive(self) -> None:
+        """Entities, edges, dependencies, hints and, with a provider, vectors of the live chunks."""
+        rows = self.chunks()
+        code = rows.where(F.col("source_type") == "code")
+        self.store.replace("entities", entities.upsert(entities.symbols(rows)).withColumn("id", F.xxhash64("canonical_name")))
+        calls = sections.call_edges(code.withColumn("file_path", F.concat(F.lit("p/"), "file_path"))).select("src", "dst", F.lit("calls").alias("rel_type"))
+        holds = graph.contains_edges(code).select("src", "dst", F.lit("contains").alias("rel_type"))
+        self.store.replace("edges", calls.unionByName(holds).unionByName(relations.import_edges(code)))
+        known = self.store.read("entities")
+        own = known.where(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").alias("c"), F.col("id").alias("e"))
+        a, b = own.select(F.col("c").alias("src"), F.col("e").alias("source_entity")), own.select(F.col("c").alias("dst"), F.col("e").alias("target_entity"))
+        linked = self.store.read("edges").join(a, "src").join(b, "dst").select("source_entity", "target_entity", F.col("rel_type").alias("dep_type"))
+        deps = linked.unionByName(relations.structural_deps(relations.structural(code), known)).distinct().withColumns({"valid_from": F.current_timestamp(), "valid_to": F.lit(None).cast("timestamp")})
+        over = graph.overrides(deps, known).select(F.col("src").alias("source_entity"), F.col("dst").alias("target_entity"), F.lit("overrides").alias("dep_type"), F.current_timestamp().alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+        self.store.replace("dependencies", deps.unionByName(over))
+        self.store.replace("hints", entities.template_hints(rows).select("chunk_id", "hint_text", F.lit("symbol").alias("hint_type")))
+        if self.provider:
+            self.embed()
+
+    def embed(self) -> int:
+        """Vectors of the live chunks that have none, by the provider; gives how many there were."""
+        if not self.provider:
+            raise ValueError("no provider of vectors")
+        schema = "chunk_id long, embedding array<float>, dimensions int, model string, created_at timestamp"
+        held = self.store.read("vectors") if self.store.exists("vectors") else self.spark.createDataFrame([], schema)
+        some = embed.unembedded(self.chunks(), held)
+        made = embed.embedded(some, "content_raw", self.provider).select(F.col("id").alias("chunk_id"), "embedding", F.lit(self.provider.dimensions).alias("dimensions"), F.lit(self.provider.model).alias("model"), F.current_timestamp().alias("created_at"))
+        self.store.replace("vectors", embed.stored(held, made))
+        return some.count()
+
     def ingest(self, rows: list[dict]) -> int:
         """Adds knowledge rows; those whose content is there already only raise its importance.  Gives how many were new."""
         new = files.knowledge(self.spark, rows)
@@ -136,6 +166,49 @@ class Engine:
         out = self.search(query, top_k).withColumn("tokens", scalar.token_estimate(F.col("content_raw")))
         return ranking.within_budget(out, max_tokens, "tokens", "query_id", F.desc(F.round("score", 9)), F.col("id"))
 
+    def vector_search(self, query: str, top_k: int = 10) -> DataFrame:
+        """Chunks whose vectors lie nearest to that of a text."""
+        if not self.provider:
+            raise ValueError("no provider of vectors")
+        asked = embed.embedded(self.spark.createDataFrame([(-1, query)], "id long, text string"), "text", self.provider, "v").select("id", "v")
+        v = self.store.read("vectors").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
+        near = ranking.nearest(v.join(self.chunks().select("id"), "id", "left_semi"), asked, top_k, "cosine")
+        return near.join(self.chunks().select("id", "file_path", "name"), "id").orderBy("distance", "id")
+
+    def entities(self, entity_type: str | None = None, top_k: int = 50) -> DataFrame:
+        rows = self.store.read("entities")
+        rows = rows.where(F.col("entity_type") == entity_type) if entity_type else rows
+        return rows.orderBy(F.desc("mentions"), "canonical_name").limit(top_k)
+
+    def entity_deps(self, name: str, hops: int = 1) -> DataFrame:
+        """Entities that one depends on within some hops, with their distance."""
+        rows = self.store.read("entities").select("id", "canonical_name", "entity_type")
+        seed = rows.where(F.col("canonical_name") == name.strip().lower()).select(F.col("id").alias("node"))
+        found = graph.reached(graph.entity_edges(self.store.read("dependencies")), seed, hops)
+        return found.join(rows.select(F.col("id").alias("node"), "canonical_name", "entity_type"), "node").orderBy("depth", "canonical_name")
+
+    def hints(self, chunk_id: int) -> DataFrame:
+        return self.store.read("hints").where(F.col("chunk_id") == chunk_id)
+
+    def communities(self) -> DataFrame:
+        return entities.directory_communities(self.chunks(), self.store.read("entities")).orderBy("path")
+
+    def episodes(self, path: str | None = None, top_k: int = 20) -> DataFrame:
+        rows = self.store.read("episodes")
+        rows = rows.where(F.col("file_path") == path) if path else rows
+        return rows.orderBy(F.desc("created_at"), "id").limit(top_k)
+
+    def file_deps(self, path: str, hops: int = 1) -> DataFrame:
+        """Files that a file depends on, directly or within some hops."""
+        edges = self.store.read("edges").where(F.col("rel_type").isin("imports", "calls"))
+        return relations.transitive_files(edges, self.chunks(), hops).where(F.col("source") == path).orderBy("depth", "target")
+
+    def render(self, ids: list[int]) -> str:
+        """Chunks as one Markdown text, in the given order."""
+        wanted = self.spark.createDataFrame([(0, i, n) for n, i in enumerate(ids)], "query_id long, id long, place int")
+        row = catalogue.rendered(wanted, self.chunks()).first()
+        return row["text"] if row else ""
+
     def deps(self, path: str) -> DataFrame:
         """What the chunks of a file call, and who calls them."""
         from chunkloom.operators.sections import call_edges
@@ -156,7 +229,7 @@ class Engine:
 
     def call(self, method: str, **params) -> dict:
         """{"ok", "result"} or {"ok", "error"} of a method; searches and context are cached for a while."""
-        allowed = {"index": self.index, "ingest": self.ingest, "forget": self.forget, "search": self.search, "context": self.context, "deps": self.deps, "get": self.get, "stats": self.stats, "ls": lambda **f: catalogue.ls(self.chunks(), **f).select("id", "file_path", "name", "chunk_type", "line_start").orderBy("file_path", "line_start"), "cat": lambda id: self.chunks().where(F.col("id") == id)}
+        allowed = {"index": self.index, "ingest": self.ingest, "forget": self.forget, "search": self.search, "context": self.context, "deps": self.deps, "get": self.get, "stats": self.stats, "embed": self.embed, "vector_search": self.vector_search, "entities": self.entities, "entity_deps": self.entity_deps, "hints": self.hints, "communities": self.communities, "episodes": self.episodes, "file_deps": self.file_deps, "render": self.render, "tree": lambda: catalogue.tree(self.chunks().select(F.col("file_path").alias("path"))).orderBy("path"), "project_summary": lambda: catalogue.counts(self.chunks(), "language").orderBy("language"), "ls": lambda **f: catalogue.ls(self.chunks(), **f).select("id", "file_path", "name", "chunk_type", "line_start").orderBy("file_path", "line_start"), "cat": lambda id: self.chunks().where(F.col("id") == id)}
         if method not in allowed:
             return {"ok": False, "error": f"unknown method {method}"}
         key = json.dumps([method, params], sort_keys=True, default=str)

@@ -62,19 +62,19 @@ def candidates(module: Column, source: Column) -> Column:
     Relative paths and bare file names go against the source's folder; `crate::`
     against the folder `src` above it or the project, `super::` and `self::`
     against its folder; dotted names against the project's root (the first
-    folder) and the source's folder.
+    folder), the source's folder and the root of all.
     """
     folder = F.regexp_replace(source, "(^|/)[^/]*$", "")
     project = F.split(source, "/")[0]
     slashed = F.regexp_replace(F.regexp_replace(module, r"^(?:crate|super|self)::", ""), r"::|\.(?=\w+(?:\.|$))", "/")
     crate = F.when(source.rlike("(^|/)src/"), F.regexp_replace(source, "((?:^|.*/)src)/.*$", "$1")).otherwise(project)
     base = (
-        F.when(module.rlike(r"^\.{1,2}/") | module.rlike(r"^[\w-]+(?:/[\w-]+)*\.\w{1,4}$"), F.array(_joined(folder, module)))
+        F.when(module.rlike(r"^\.{1,2}/") | module.rlike(rf"^[\w-]+(?:/[\w-]+)*\.(?:{'|'.join(ENDINGS)}|hpp|hh|sh|json|css)$"), F.array(_joined(folder, module)))
         .when(module.startswith("crate::"), F.array(_joined(crate, slashed)))
         .when(module.startswith("super::"), F.array(_joined(F.regexp_replace(folder, "(^|/)[^/]*$", ""), slashed), _joined(folder, slashed)))
         .when(module.startswith("self::"), F.array(_joined(folder, slashed)))
         .when(module.rlike(r"^\.+\w"), F.array(_joined(folder, F.concat(F.repeat(F.lit("../"), F.length(F.regexp_extract(module, r"^(\.+)", 1)) - 1), F.regexp_replace(F.regexp_replace(module, r"^\.+", ""), r"\.", "/")))))
-        .otherwise(F.array(_joined(project, slashed), _joined(folder, slashed)))
+        .otherwise(F.array(_joined(project, slashed), _joined(folder, slashed), slashed))
     )
     tried = F.transform(base, lambda b: F.concat(F.array(b), *[F.array(F.concat(b, F.lit(f".{e}"))) for e in ENDINGS], *[F.array(F.concat(b, F.lit(f"/{f}"))) for f in FOLDER_FILES]))
     return F.array_distinct(F.flatten(tried))
@@ -116,8 +116,8 @@ def structural(chunks: DataFrame) -> DataFrame:
 
     def form(pattern: str, heir: int, parents: int, kind: str) -> Column:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), heir).alias("heir"), F.regexp_extract_all(text, F.lit(pattern), parents).alias("parents"))
-        split = F.transform(pairs, lambda p: F.transform(F.split(F.regexp_replace(p["parents"], "<[^>]*>", ""), ","), lambda x: F.struct(p["heir"].alias("heir"), F.regexp_extract(x, r"(\w+)[ \t]*$", 1).alias("parent"), F.lit(kind).alias("rel_type"))))
-        return F.filter(F.flatten(split), lambda x: ~x["parent"].isin("", "object", "Object") & ~F.contains(x["parent"], F.lit("=")))
+        split = F.transform(pairs, lambda p: F.transform(F.filter(F.split(F.regexp_replace(p["parents"], "<[^>]*>", ""), ","), lambda x: ~F.contains(x, F.lit("="))), lambda x: F.struct(p["heir"].alias("heir"), F.regexp_extract(x, r"(\w+)[ \t]*$", 1).alias("parent"), F.lit(kind).alias("rel_type"))))
+        return F.filter(F.flatten(split), lambda x: ~x["parent"].isin("", "object", "Object"))
 
     some = chunks.where(text.isNotNull() & F.col("chunk_type").isin("class", "struct", "interface", "trait", "impl", "enum", "section"))
     each = F.array_distinct(F.concat(*[form(*h) for h in _HEIRS]))

@@ -206,7 +206,10 @@ def hints_concatenated(spark, sf_dir):
 def hint_search(spark, sf_dir):
     from chunkloom.operators import search
 
-    h = entities.template_hints(_t(spark, sf_dir, "chunks")[0]).select("chunk_id", "hint_text", F.lit("symbol").alias("hint_type"))
+    chunks, ents, deps = _t(spark, sf_dir, "chunks", "entities", "entity_dependencies")
+    h = entities.template_hints(chunks).select("chunk_id", "hint_text", F.lit("symbol").alias("hint_type"))
+    related = entities.relational_hints(ents, deps).join(ents.where(F.col("chunk_id").isNotNull()).select(F.col("id").alias("entity_id"), "chunk_id"), "entity_id")
+    h = h.unionByName(related.select("chunk_id", "hint_text", "hint_type"))
     return search.hint_search(h, _text_queries(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -346,6 +349,14 @@ SQL: dict[str, str] = {
     + r"select trim(regexp_replace(lower(name), '\s+', ' ', 'g')) as canonical_name, count(*) as mentions, arg_max(entity_type, (coalesce(file_path, ''), coalesce(line_start, -1), coalesce(chunk_id, -1))) as entity_type, arg_max(chunk_id, (coalesce(file_path, ''), coalesce(line_start, -1), coalesce(chunk_id, -1))) filter (chunk_id is not null) as chunk_id from rows group by 1",
     "mention_counter": S.with_(S.ENTITIES, _ATTR, "m as (select entity_id, count(*) n from attr group by 1)") + "select entity_id, (coalesce(e.mentions, 0) + coalesce(m.n, 0))::bigint as mentions from (select id as entity_id, mentions from ents) e full join m using (entity_id)",
     "hints_template": S.with_(S.LATEST, _HINTS) + "select chunk_id, n::int as n, hint_text from hints",
+    "hint_search": S.with_(S.LATEST, S.QUERIES, _HINTS, S.EDGES, S.ENTITIES, _REL_HINTS, "rh as (select entity_id, hint_text, hint_type from (select *, row_number() over (partition by entity_id order by way, hint_text) n from oh) where n <= 6)",
+        "ah as (select chunk_id, hint_text, min(hint_type) as hint_type from (select chunk_id, hint_text, 'symbol' as hint_type from hints union all select e.chunk_id, hint_text, hint_type from rh join ents e on e.id = rh.entity_id where e.chunk_id is not null) group by 1, 2)",
+        f"ht as (select chunk_id, hint_text, unnest({S.tokens('hint_text')}) as term from ah)", "hp as (select term, chunk_id, hint_text, count(*) as c from ht group by 1, 2, 3)", f"hl as (select chunk_id, hint_text, hint_type, len({S.tokens('hint_text')}) as len from ah)", "hc as (select count(*) docs, avg(len) mean from hl)", "hd as (select term, count(*) df from hp group by 1)",
+        f"hw as (select distinct query_id, unnest({S.tokens('text')}) as term from queries)",
+        "hr as (select query_id, p.chunk_id, p.hint_text, l.hint_type, -sum(case when ln((docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((docs - df + 0.5) / (df + 0.5)) end * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len / mean))) as rank from hw join hp p using (term) join hd using (term) join hl l on l.chunk_id = p.chunk_id and l.hint_text = p.hint_text, hc group by 1, 2, 3, 4)",
+        "hb as (select * from (select *, row_number() over (partition by query_id order by round(rank, 9), chunk_id, hint_text) n from hr) where n <= 200)",
+        "hn as (select query_id, chunk_id, least(1 - (rank - min(rank) over w) / greatest(abs(max(rank) over w - min(rank) over w), 0.001) + case when hint_type in ('caller', 'callee', 'heir', 'member', 'importer') then 0.15 else 0.0 end, 1.0) as s from hb window w as (partition by query_id))",
+        "hs as (select query_id, chunk_id as id, max(s) as score from hn group by 1, 2)") + "select query_id, id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) n from hs) where n <= 20",
     "hints_concatenated": S.with_(S.LATEST, _HINTS) + "select chunk_id, string_agg(hint_text, ' ' order by n) as hints from hints group by 1",
     "hints_relational": S.with_(S.EDGES, S.ENTITIES, _REL_HINTS) + "select entity_id, n::int as n, hint_text, hint_type from (select *, row_number() over (partition by entity_id order by way, hint_text) n from oh) where n <= 6",
     "directory_communities": S.with_(S.LATEST, S.ENTITIES, _COMMUNITIES) + "select * from comm",

@@ -198,7 +198,7 @@ _CODE = "code as (select * from live where source_type = 'code')"
 _HEIRS = "heirs as (select * from live where source_type = 'code' and chunk_type in ('class', 'struct', 'interface', 'trait', 'impl', 'enum', 'section'))"
 _PAIRS = "pairs as (" + " union all ".join(_heir_form(*h) for h in relations._HEIRS) + ")"
 _SPLIT = "split as (select id, heir, rel_type, unnest(string_split(regexp_replace(parents, '<[^>]*>', '', 'g'), ',')) as p from pairs)"
-_STATED = r"stated as (select distinct id, heir, regexp_extract(p, '(\w+)[ \t]*$', 1) as parent, rel_type from split where regexp_extract(p, '(\w+)[ \t]*$', 1) not in ('', 'object', 'Object'))"
+_STATED = r"stated as (select distinct id, heir, regexp_extract(p, '(\w+)[ \t]*$', 1) as parent, rel_type from split where regexp_extract(p, '(\w+)[ \t]*$', 1) not in ('', 'object', 'Object') and not contains(p, '='))"
 _SR = "sr as (select distinct * from search_results)"
 _ATTR = "attr as (select distinct * from entity_attributes)"
 _RENDERED = "'### ' || coalesce(name, chunk_type) || chr(10) || '**File:** `' || file_path || '` **Lines:** ' || (line_start + 1) || '-' || (line_end + 1) || ' **Type:** ' || chunk_type || chr(10) || chr(10) || '```' || coalesce(language, '') || chr(10) || coalesce(content_raw, '') || chr(10) || '```' || chr(10)"
