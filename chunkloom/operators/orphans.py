@@ -61,17 +61,26 @@ def _pack(raw: pd.Series) -> pd.Series:
     return raw.map(pack)
 
 
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _running(bitmaps: pd.Series) -> pd.Series:
+    """For packed bitmaps in the order of their periods: those of each period and all before it, packed."""
+    out = []
+    for several in bitmaps:
+        bits, held = np.zeros(RANGE_BITS, np.uint8), []
+        for bitmap in several:
+            bits |= unpack(bitmap)
+            held.append(pack(np.packbits(bits, bitorder="little").tobytes()))
+        out.append(held)
+    return pd.Series(out)
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _and_not(references: pd.Series, period: pd.Series, parents: pd.Series, periods: pd.Series) -> pd.Series:
-    """Positions in a packed reference bitmap that no parent bitmap of an earlier period has."""
+def _and_not(references: pd.Series, parents: pd.Series) -> pd.Series:
+    """Positions in a packed reference bitmap that the packed bitmap of the parents before its period has not."""
     out = []
-    for r, p, several, at in zip(references, period, parents, periods):
+    for r, p in zip(references, parents):
         bits = unpack(r)
-        if several is not None:
-            for bitmap, q in zip(several, at):
-                if q < p:
-                    bits = bits & ~unpack(bitmap) & 1
-        out.append(np.flatnonzero(bits).astype(np.int32))
+        out.append(np.flatnonzero(bits if p is None else bits & ~unpack(p) & 1).astype(np.int32))
     return pd.Series(out)
 
 
@@ -99,6 +108,11 @@ def orphans(references: list[Reference], parents: DataFrame) -> DataFrame:
     references.  A null `at` counts as before everything, so only a missing or
     gone parent makes it an orphan; a null `since` means that it never came.
     One row per ref_id and field, however often the referring row is repeated.
+
+    A range's parents are or-ed along its periods once, so each reference bitmap
+    meets one parent bitmap.  In the last join the suspects have one row a key
+    and period, so adaptive execution may split the rows of a key that a third
+    of them name.
     """
     spark = parents.sparkSession
     scratch = Scratch(spark, "orphans")
@@ -117,8 +131,12 @@ def orphans(references: list[Reference], parents: DataFrame) -> DataFrame:
     asked = coded.groupBy("kind", "range", "month").agg(_pack(F.bitmap_construct_agg("bit")).alias("asked"))
     live = held.where(~F.coalesce("gone", F.lit(False)) & F.col("since").isNotNull()).withColumn("month", F.date_format("since", "yyyy-MM"))
     there = live.join(words, ["kind", "key"]).groupBy("kind", "range", "month").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    there = there.select("kind", "range", "month", _pack("bits").alias("bits")).groupBy("kind", "range").agg(F.collect_list(F.struct("month", "bits")).alias("there"))
-    left = asked.join(there, ["kind", "range"], "left").select("kind", "range", "month", F.explode(_and_not("asked", "month", F.col("there.bits"), F.col("there.month"))).alias("bit"))
+    there = there.select("kind", "range", "month", _pack("bits").alias("bits")).groupBy("kind", "range").agg(F.array_sort(F.collect_list(F.struct("month", "bits"))).alias("there"))
+    there = there.select("kind", "range", F.col("there.month").alias("months"), _running(F.col("there.bits")).alias("running"))
+    before = F.size(F.filter("months", lambda q: q < F.col("month")))  # the months come in order
+    earlier = F.when(before > 0, F.get("running", before - 1))
+    left = asked.join(there, ["kind", "range"], "left").select("kind", "range", "month", "asked", earlier.alias("earlier"))
+    left = left.select("kind", "range", "month", F.explode(_and_not("asked", "earlier")).alias("bit"))
     suspects = left.join(words, ["kind", "range", "bit"]).select("kind", "key", "month").join(held, ["kind", "key"], "left")
 
     late = F.col("since").isNull() | F.coalesce("gone", F.lit(False)) | (F.col("since") > F.col("at"))
