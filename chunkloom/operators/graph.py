@@ -44,12 +44,14 @@ def materialise(deps: DataFrame, entities: DataFrame) -> DataFrame:
 def reached(edges: DataFrame, seeds: DataFrame, hops: int, include_seeds: bool = False) -> DataFrame:
     """origin, node, depth: the least number of hops (<= hops) from each seed along src -> dst.
 
-    Breadth-first: each round joins only the nodes reached last and drops those
+    A seed (column node) is its own origin unless it has a column `origin`; seeds
+    of one origin are searched from together.  Breadth-first: each round joins only the nodes reached last and drops those
     seen before, and its result is written to the shared folder.
     """
     scratch = Scratch(seeds.sparkSession, "reached")
-    step = edges.select("src", "dst").distinct()
-    front = seeds.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0))
+    step = scratch.cut(edges.select("src", "dst").distinct())
+    origin = F.col("origin" if "origin" in seeds.columns else "node").alias("origin")
+    front = scratch.cut(seeds.select(origin, "node").distinct().withColumn("depth", F.lit(0)))
     seen = [front]
     for depth in range(1, hops + 1):
         new = front.join(step, front.node == step.src).select("origin", F.col("dst").alias("node")).distinct()
@@ -86,8 +88,8 @@ def seed_entities(entities: DataFrame, queries: DataFrame, per_token: int = 5, m
 def graph_boost(entities: DataFrame, deps: DataFrame, attributes: DataFrame, queries: DataFrame, k: int = 50, hops: int = 3) -> DataFrame:
     """query_id, id, score: 0.2 * 0.5^hops of the chunks of entities near the query's seed entities."""
     seeds = seed_entities(entities, queries)
-    near = reached(undirected(entity_edges(deps)), seeds.select("node"), hops, include_seeds=True)
-    by_query = seeds.select("query_id", F.col("node").alias("origin")).join(near, "origin").groupBy("query_id", "node").agg(F.min("depth").alias("depth"))
+    near = reached(undirected(entity_edges(deps)), seeds.select(F.col("query_id").alias("origin"), "node"), hops, include_seeds=True)
+    by_query = near.select(F.col("origin").alias("query_id"), "node", "depth")
     own = entities.where(F.col("chunk_id").isNotNull()).select(F.col("id").alias("node"), "chunk_id")
     linked = attributes.where(F.col("chunk_id").isNotNull() & (F.col("chunk_id") != -1)).select(F.col("entity_id").alias("node"), "chunk_id")
     chunks = own.unionByName(linked).distinct()

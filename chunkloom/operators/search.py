@@ -42,9 +42,10 @@ def text_search(chunks: DataFrame, queries: DataFrame, hints: DataFrame, near: D
     return fulltext.top(out, k, F.desc(F.round("score", 9)), F.col("id")).select("query_id", "id", "score")
 
 
-def layered(chunks: DataFrame, queries: DataFrame, entities: DataFrame, attributes: DataFrame, deps: DataFrame, vectors: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
+def layered(chunks: DataFrame, queries: DataFrame, entities: DataFrame, attributes: DataFrame, deps: DataFrame, vectors: DataFrame, as_of: Column, k: int = 10, written: bool = False) -> DataFrame:
     """query_id, id, score, layers, place of the best k chunks of each query.
 
+    `written` says that `chunks` is a written table already.
     `queries` has query_id and text; a query's vector is that of the chunk with
     its id, where there is one.  Layers are folded in order: full text with
     hints, then chunks of near entities that are new, then new chunks of the
@@ -53,7 +54,7 @@ def layered(chunks: DataFrame, queries: DataFrame, entities: DataFrame, attribut
     clear (three of 0.7, the best above 0.85) keeps to them.
     """
     scratch = Scratch(chunks.sparkSession, "layered")  # each layer is read several times
-    chunks, queries = scratch.cut(chunks), scratch.cut(queries)
+    chunks, queries = chunks if written else scratch.cut(chunks), scratch.cut(queries)
     entities = entities.distinct()
     hints = E.template_hints(chunks).select("chunk_id", "hint_text", F.lit("symbol").alias("hint_type"))
     related = E.relational_hints(entities, deps).join(entities.select(F.col("id").alias("entity_id"), "chunk_id"), "entity_id").where(F.col("chunk_id").isNotNull())

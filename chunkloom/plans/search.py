@@ -197,7 +197,7 @@ def layered_search(spark, sf_dir):
 
     rows, queries = chunks_and_queries(spark, sf_dir)
     t = {n: table(spark, sf_dir, n) for n in ("entities", "entity_attributes", "entity_dependencies", "chunks_vec")}
-    return search.layered(rows, queries, t["entities"], t["entity_attributes"], t["entity_dependencies"], t["chunks_vec"], as_of())
+    return search.layered(rows, queries, t["entities"], t["entity_attributes"], t["entity_dependencies"], t["chunks_vec"], as_of(), written=True)
 
 
 QUERIES: dict[str, Query] = {
