@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +43,19 @@ def reached(edges: DataFrame, seeds: DataFrame, hops: int, include_seeds: bool =
     """origin, node, depth: the least number of hops (<= hops) from each seed along src -> dst.
 
     A seed (column node) is its own origin unless it has a column `origin`; seeds
-    of one origin are searched from together.  Breadth-first: each round joins only the nodes reached last and drops those
-    seen before, and its result is written to the shared folder.
+    of one origin are searched from together.  Breadth-first: each round joins
+    only the nodes reached last; one aggregate keeps the least depth of each
+    node, and the state is written to the shared folder.
     """
     scratch = Scratch(seeds.sparkSession, "reached")
     step = scratch.cut(edges.select("src", "dst").distinct())
     origin = F.col("origin" if "origin" in seeds.columns else "node").alias("origin")
-    front = scratch.cut(seeds.select(origin, "node").distinct().withColumn("depth", F.lit(0)))
-    seen = [front]
+    state = scratch.cut(seeds.select(origin, "node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
-        new = front.join(step, front.node == step.src).select("origin", F.col("dst").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, seen).select("origin", "node")
-        front = scratch.cut(new.join(known, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen.append(front)
-    out = reduce(DataFrame.unionByName, seen)
-    return out if include_seeds else out.where("depth > 0")
+        front = state.where(F.col("depth") == depth - 1)
+        new = front.join(step, front.node == step.src).select("origin", F.col("dst").alias("node"), F.lit(depth).alias("depth"))
+        state = scratch.cut(state.unionByName(new).groupBy("origin", "node").agg(F.min("depth").alias("depth")))
+    return state if include_seeds else state.where("depth > 0")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
