@@ -12,6 +12,7 @@ from chunkloom.functions import embed, scalar, stem
 from chunkloom.operators import catalogue, entities, graph, hierarchy, ranking, relations
 from chunkloom.operators.chunks import live
 from chunkloom.plans import sql as S
+from chunkloom.plans.graph import _HINTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,6 +212,7 @@ SQL: dict[str, str] = {
     "transitive_file_deps": S.with_(S.LATEST, S.EDGES, S.ENTITIES, S.RELATIONS, "step as (select distinct a.file_path as src, b.file_path as dst from rels r join live a on a.id = r.src join live b on b.id = r.dst where a.file_path <> b.file_path and r.rel_type in ('imports', 'calls'))", "one as (select src as source, dst as target, 1 as depth from step)", "two as (select source, dst as target, 2 as depth from one join step on target = src)", "three as (select source, dst as target, 3 as depth from two join step on target = src)")
     + "select source, target, min(depth)::int as depth from (select * from one union select * from two union select * from three) where source <> target group by 1, 2",
     "attribute_add": S.with_(_ATTR, "old as (select * from attr where entity_id % 2 = 0)", "new as (select entity_id, kind, content, min(id) as id from attr where entity_id is not null and kind is not null and content is not null group by 1, 2, 3)", "both_ as (select id, kind from old union all select id, kind from new n where not exists (select 1 from old o where o.entity_id = n.entity_id and o.kind = n.kind and o.content = n.content))") + "select kind, count(*) as n, min(id) as first from both_ group by 1",
+    "hints_added": S.with_(S.LATEST, _HINTS) + "select 'symbol' as hint_type, count(*) as n, count(distinct chunk_id) as chunks from hints where chunk_id % 2 = 0 union all select 'plain', count(*), count(distinct chunk_id) from (select distinct chunk_id, hint_text from hints where chunk_id % 2 <> 0)",
     "entity_list": S.with_(S.ENTITIES, "p as (select *, row_number() over (partition by entity_type order by mentions desc, id) as place from ents)") + "select entity_type, place, id, canonical_name, mentions from p where place <= 20",
     "entity_cards": S.with_(S.ENTITIES, _ATTR, S.EDGES, "k as (select entity_id as id, kind || '=' || count(*) as said from attr group by entity_id, kind)", "a as (select id, string_agg(said, ',' order by said) as attributes from k group by 1)", "o as (select src as id, count(*) as n from edges group by 1)", "i as (select dst as id, count(*) as n from edges group by 1)")
     + "select e.id, canonical_name, coalesce(attributes, '') as attributes, coalesce(o.n, 0) as outgoing, coalesce(i.n, 0) as incoming from ents e left join a using (id) left join o using (id) left join i using (id)",
