@@ -1,4 +1,8 @@
+import math
 import random
+import re
+
+import pandas as pd
 
 from chunkloom.llm import truncation as X
 
@@ -100,3 +104,71 @@ def test_edges(spark):
     assert X.found(spark.createDataFrame(rows, schema)).count() == 0
     assert X.found(spark.createDataFrame([], schema)).count() == 0
     assert X.report(spark.createDataFrame([], schema)).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, source_type string"
+
+
+def test_contexts_are_counted_over_all_texts(spark):
+    rng = random.Random(3)
+    # single letters are never folded, so plain counting gives the truth; 5.5 million characters
+    texts = ["".join(rng.choices(["a ", "b ", "b\n", "c "], k=k)) + "b" for k in [340_000] * 8 + [30] * 40]
+    df = spark.createDataFrame([(k, t, "en", "s", "document") for k, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {r.doc_id: r.log_odds for r in X.judged(df).where("doc_id >= 46").collect()}
+    for doc, odds in got.items():
+        p = None
+        for depth in range(X.ORDER + 1):
+            context = re.escape(texts[doc][len(texts[doc]) - depth :]) if depth else r"(?<=[^\n])"
+            seen = [m[1] for t in texts for m in re.finditer(f"(?={context}(\n|\\Z|))", t)]
+            ended, seen = sum(x == "\n" for x in seen), len(seen)
+            ended += sum(t.endswith(texts[doc][len(texts[doc]) - depth :]) for t in texts)
+            ended, seen = ended - 1, seen - 1  # the text itself doesn't tell
+            if p is None:
+                p = (ended + 0.05) / (seen + 0.1)
+                continue
+            if seen < X.LEAST:
+                break
+            p = (ended + X.STRENGTH * p) / (seen + X.STRENGTH)
+            if not ended and seen >= X.PURE:
+                break
+        assert abs(odds - math.log(p / (1 - p))) < 1e-6
+    assert len(got) == 2
+
+
+def test_tasks_count_what_one_process_counts(spark):
+    rows, _ = corpus(300)
+    rows += [(k, "int f(int a) {\n" + "    a += 1;\n" * (k % 7) + "    return a;\n" + "}\n" * (k % 3 > 0), None, None, "code") for k in range(300, 340)]
+    rows += [(k, "Look:\n```\nx = 1\n" + "```\n" * (k % 4 > 0), "de", "b", None) for k in range(340, 360)]
+    m = X.train([r[1] for r in rows], [r[4] == "code" for r in rows])
+    got = {r.doc_id: r.log_odds for r in X.judged(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert len(got) == 360
+    for k, t, _, _, kind in rows:
+        assert abs(got[k] - X.judge(m, t, kind == "code", trained=True)[0]) < 1e-9
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    said = "\n".join(rng.choice([text(rng), "```\nx = f(1)\n\ny = 2\n```", "| a | b |", "see https://a.b/c?d for it", " ".join(text(rng).split() * 9), "  ```", "# Head"]) for _ in range(400))
+    texts, code = [said, text(rng), said[9:30000]], [False, False, True]
+    known = X.train(texts[1:2], code[1:2])["known"]
+
+    def counted():
+        groups = list(X.chunks(texts, code))
+        words = pd.concat([X.word_counts(g) for g in groups]).groupby("word").agg({"count": "sum", "first": "sum", "free": "max"})
+        contexts = X.added([X.context_counts(g, known) for g in groups])
+        return len(groups), words, contexts.set_index("context").sort_index()
+
+    n, words, contexts = counted()
+    monkeypatch.setattr(X, "CHUNK", 1500)
+    more, words_, contexts_ = counted()
+    assert n == 1 and more > 50
+    assert words.sort_index().equals(words_.sort_index())
+    assert contexts.equals(contexts_)
+
+
+def test_cuts_do_not_vouch_for_each_other():
+    whole = [f"void f{k}(int a) {{\n    if (!{NOUNS[k % 8]}) {{\n        {VERBS[k % 6]}(a);\n    }}\n}}\n" for k in range(96)]
+    cuts = [f"void g(int a) {{\n    if (!{noun[:k]}" for noun in NOUNS for k in (3, 4) if noun[:k] != noun]
+    m = X.train([*whole, *cuts], [True] * (len(whole) + len(cuts)))
+    assert all(X.judge(m, t, True, trained=True)[1] < 0 for t in cuts)
+    assert not any(X.judge(m, t, True, trained=True)[1] < 0 for t in whole)
