@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.common import Scratch
 from chunkloom.functions import scalar
-from chunkloom.operators.fulltext import top
+from chunkloom.operators.fulltext import answered, top
 
 #: Score of a context chunk by the edge that reached it; what opens a container and what it may hold.
 EDGE_SCORES = {"calls": 0.9, "imports": 0.7, "extends": 0.6, "implements": 0.6, "overrides": 0.55, "contains": 0.4, "references": 0.35}
@@ -83,14 +83,33 @@ def seed_entities(entities: DataFrame, queries: DataFrame, per_token: int = 5, m
 
 def graph_boost(entities: DataFrame, deps: DataFrame, attributes: DataFrame, queries: DataFrame, k: int = 50, hops: int = 3) -> DataFrame:
     """query_id, id, score: 0.2 * 0.5^hops of the chunks of entities near the query's seed entities."""
-    seeds = seed_entities(entities, queries)
-    near = reached(undirected(entity_edges(deps)), seeds.select(F.col("query_id").alias("origin"), "node"), hops, include_seeds=True)
-    by_query = near.select(F.col("origin").alias("query_id"), "node", "depth")
+    scratch = Scratch(queries.sparkSession, "boost")
+    # queries of one text ask together, by the smallest query_id
+    every = scratch.cut(queries.select("query_id", "text", F.min("query_id").over(Window.partitionBy("text")).alias("asks")))
     own = entities.where(F.col("chunk_id").isNotNull()).select(F.col("id").alias("node"), "chunk_id")
     linked = attributes.where(F.col("chunk_id").isNotNull() & (F.col("chunk_id") != -1)).select(F.col("entity_id").alias("node"), "chunk_id")
-    chunks = own.unionByName(linked).distinct()
-    score = F.max(F.lit(0.2) * F.pow(F.lit(0.5), F.col("depth"))).alias("score")
-    return top(by_query.join(chunks, "node").groupBy("query_id", F.col("chunk_id").alias("id")).agg(score), k, F.desc("score"), F.col("id")).drop("place")
+    chunks = scratch.cut(own.unionByName(linked).distinct().select("node", F.col("chunk_id").alias("id")))
+    step = scratch.cut(undirected(entity_edges(deps)))
+    # chunks of a node's neighbours: twice k are enough, since a query that needs more has fewer than k, which may be among them
+    beside = scratch.cut(top(step.join(chunks, step.dst == chunks.node).select(F.col("src").alias("node"), "id").distinct(), 2 * k, F.col("id"), by="node").drop("place"))
+
+    def nearest(found: DataFrame) -> DataFrame:
+        return scratch.cut(top(found.groupBy("query_id", "id").agg(F.min("depth").alias("depth")), k, F.col("depth"), F.col("id")).drop("place"))
+
+    def short(nodes: DataFrame, found: DataFrame) -> DataFrame:
+        return nodes.join(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
+
+    front = seen = scratch.cut(seed_entities(entities, every.where("query_id = asks").select("query_id", "text")).select("query_id", "node"))
+    found = nearest(front.join(chunks, "node").select("query_id", "id", F.lit(0).alias("depth")))
+    for depth in range(1, hops + 1):
+        # deeper chunks score less, so a query that has k needs none of them
+        near = short(front, found).join(beside, "node").select("query_id", "id", F.lit(depth).alias("depth"))
+        found = nearest(found.unionByName(near))
+        if depth < hops:
+            ahead = short(front, found).join(step, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node")).distinct()
+            front = scratch.cut(ahead.join(seen, ["query_id", "node"], "left_anti"))
+            seen = seen.unionByName(front)
+    return answered(every, found.select("query_id", "id", (F.lit(0.2) * F.pow(F.lit(0.5), F.col("depth"))).alias("score")))
 
 
 def boost_ids(entities: DataFrame, deps: DataFrame, attributes: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
