@@ -20,13 +20,13 @@ NEAR = 50
 def hint_search(hints: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, id, score: the best hint of each chunk (chunk_id, hint_text, hint_type), normalised, relational ones raised."""
     rows = hints.select(F.xxhash64("chunk_id", "hint_text").alias("id"), "chunk_id", "hint_text", "hint_type").groupBy("id").agg(*[F.min(c).alias(c) for c in ("chunk_id", "hint_text", "hint_type")])
-    q = queries.select("query_id", scalar.tokens(F.col("text")).alias("terms"))
-    found = fulltext.bm25(fulltext.index(rows.select("id", "hint_text"), ("hint_text",), only=fulltext.terms_of(q)), q, {"hint_text": 1.0})
+    every = fulltext.asked(queries)
+    found = fulltext.best(rows, fulltext.asking(every), 10 * k, {"hint_text": 1.0}, by="rank", tie="chunk_id")
     found = found.join(rows, "id")
     best = fulltext.top(found, 10 * k, F.round("rank", 9), F.col("chunk_id"), F.col("hint_text")).drop("place")
     raised = F.least(fulltext.normalised(best) + F.when(F.col("hint_type").isin(*RELATIONAL), HINT_BONUS).otherwise(0.0), F.lit(1.0))
     each = best.withColumn("score", raised).groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.max("score").alias("score"))
-    return fulltext.top(each, k, F.desc(F.round("score", 9)), F.col("id")).drop("place")
+    return fulltext.answered(every, fulltext.top(each, k, F.desc(F.round("score", 9)), F.col("id")).drop("place"))
 
 
 def text_search(chunks: DataFrame, queries: DataFrame, hints: DataFrame, near: DataFrame, as_of: Column, k: int = 10) -> DataFrame:

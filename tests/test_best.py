@@ -69,3 +69,21 @@ def test_queries_of_the_same_words_ask_once(spark):
     assert {(r.query_id, tuple(r.terms)) for r in fulltext.asking(every).collect()} == {(3, ("b", "a")), (5, ("a", "b")), (9, ())}
     found = spark.createDataFrame([(3, 1), (3, 2), (5, 4)], "query_id long, id long")
     assert {tuple(r) for r in fulltext.answered(every, found).collect()} == {(3, 1), (3, 2), (7, 1), (7, 2), (5, 4)}
+
+
+def test_hint_search_ties_go_by_chunk_then_text(spark, monkeypatch):
+    from chunkloom.operators import search
+
+    monkeypatch.setattr(fulltext, "bm25", None)  # no row for each hit
+    hints = spark.createDataFrame([(n, f"{w} queue", "symbol") for n in range(30) for w in ("how", "who")] + [(n, "other words", "symbol") for n in range(90)], "chunk_id long, hint_text string, hint_type string")
+    queries = spark.createDataFrame([(1, "queue"), (2, "Queue"), (3, "how")], "query_id long, text string")
+    got = {(r.query_id, r.id) for r in search.hint_search(hints.repartition(3), queries, 2).collect()}
+    assert got == {(q, n) for q in (1, 2, 3) for n in (0, 1)}
+
+
+def test_plans_do_not_list_all_hits(spark, data, monkeypatch):
+    from chunkloom.plans import search
+
+    monkeypatch.setattr(fulltext, "bm25", None)
+    for name in ("fts_bm25_topk", "fts_weighted_columns", "fts_normalized", "content_search", "search_dampened", "name_match_bonus", "eval_hit_at_k_mrr"):
+        assert search.QUERIES[name](spark, data).count() > 0, name
